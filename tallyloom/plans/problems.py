@@ -82,8 +82,8 @@ down AS (
   SELECT id, id AS root_id, 0 AS node_depth, id AS node_path FROM e WHERE p IS NULL
   UNION ALL SELECT e.id, root_id, node_depth + 1, node_path || '/' || e.id FROM down JOIN e ON e.p = down.id),
 loose AS (SELECT id, p FROM e WHERE id NOT IN (SELECT id FROM down)),
-up AS (SELECT id, p AS at FROM loose UNION SELECT up.id, loose.p FROM up JOIN loose ON loose.id = up.at),
-cyc AS (SELECT DISTINCT id FROM up WHERE at = id)
+up AS (SELECT id, p AS above FROM loose UNION SELECT up.id, loose.p FROM up JOIN loose ON loose.id = up.above),
+cyc AS (SELECT DISTINCT id FROM up WHERE above = id)
 """
 _P3_FOUND = _P3 + """
 SELECT id AS session_id, root_id, node_depth, node_path FROM down
