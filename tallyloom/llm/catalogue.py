@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import scanned
-from tallyloom.session import read_table
+from tallyloom.llm import mixing, packing, scanned, subjects, tokens
+from tallyloom.session import cut, read_table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.repairs(read_table(spark, sf_dir, "image_item"))
 
 
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, cluster (equal for copies of one text) and n_tokens of all documents."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("cluster", F.xxhash64("text"))
+    return cut(tokens.count_tokens(docs, "text", ["doc_id", "source", "cluster"]), "sized")
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sized_documents(spark, sf_dir), read_table(spark, sf_dir, "pack_limit"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, sf_dir), read_table(spark, sf_dir, "pack_limit"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(sized_documents(spark, sf_dir), read_table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(p8_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_target"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_example"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents and their characters of each area, areas without any included."""
+    found = p9_found(spark, sf_dir).join(read_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    sums = found.groupBy("area").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+    return read_table(spark, sf_dir, "subject_area").select("area").join(sums, "area", "left").fillna(0, ["documents", "characters"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found,)}
+    return {f.__name__: f for f in (p5_found, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
