@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import problems
+from tallyloom.plans import problems, usage
 
-MODULES = [problems]
-FLAGSHIP = problems.p1_found
+MODULES = [problems, usage]
+FLAGSHIP = usage.usage_daily
 
 
 def queries() -> dict:
