@@ -29,7 +29,7 @@ DIMENSIONS = 64
 #: A term stands in at least this many sentences.
 MIN_SENTENCES = 5
 POWER_ITERATIONS = 3
-REFINEMENTS = 7
+REFINEMENTS = 6
 #: Occurrences that a term's share by area is smoothed with.
 SMOOTHING = 5.0
 #: A sentence is about an area from this weight of telling terms on, with this cosine at least,
@@ -41,6 +41,8 @@ SHARE = 0.25
 #: A part of a line that starts as at least this share of such parts do starts a sentence.
 OPENS = 0.5
 BLOCK = 1024
+#: Documents and term occurrences that a task works on at once.
+DOCUMENTS_AT_ONCE, STEP = 2_000, 20_000
 
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _OUTSIDE = re.compile(r"^\s*(?:\||#{1,8}\s|[-=*_]{3,}\s*$|<!--|\$\$)")
@@ -176,8 +178,8 @@ class Encoded:
         self.term = terms_.flatten().to_numpy(zero_copy_only=False)
         per_sentence = sizes.flatten().to_numpy(zero_copy_only=False)
         self.script = scripts.flatten().to_numpy(zero_copy_only=False)
-        self.docs = batch.num_rows
-        in_doc = np.diff(sizes.offsets.to_numpy())
+        self.docs, self.ids = batch.num_rows, batch.column("doc_id")
+        in_doc = sizes.value_lengths().to_numpy(zero_copy_only=False)
         self.doc_of_sentence = np.repeat(np.arange(self.docs), in_doc)
         self.sentences = len(per_sentence)
         self.sentence = np.repeat(np.arange(self.sentences), per_sentence)
@@ -185,17 +187,6 @@ class Encoded:
         self.per_doc = in_doc
 
 
-def _sums(values: np.ndarray, index: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of ``values`` summed by ``index``."""
-    out = np.zeros((rows, values.shape[1]))
-    if len(index):
-        order = np.argsort(index, kind="stable")
-        sorted_ = index[order]
-        start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        out[sorted_[start]] = np.add.reduceat(values[order], start, axis=0)
-    return out
-
-
 def _summed(encoded: DataFrame, rows: int, columns: int, of) -> np.ndarray:
     """The sum over all documents of the matrices (rows x columns) that ``of`` makes of each block.
 
@@ -205,11 +196,10 @@ def _summed(encoded: DataFrame, rows: int, columns: int, of) -> np.ndarray:
 
     def partial(batches):
         total = np.zeros((rows, columns))
-        for batch in batches:
-            if batch.num_rows:
-                total += of(Encoded(batch))
+        for e in _blocks(batches):
+            total += of(e)
         slices = range(0, rows, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK for s in slices], pa.int32()), pa.array([total[s : s + BLOCK].astype(np.float64).tobytes() for s in slices], pa.binary())], names=["slice", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK for s in slices], pa.int32()), pa.array([total[s : s + BLOCK].tobytes() for s in slices], pa.binary())], names=["slice", "data"])
 
     def add(table: pa.Table) -> pa.Table:
         out = sum(np.frombuffer(b, np.float64) for b in table.column("data").to_pylist())
@@ -223,6 +213,22 @@ def _summed(encoded: DataFrame, rows: int, columns: int, of) -> np.ndarray:
     return out
 
 
+def _blocks(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+            yield Encoded(batch.slice(a, DOCUMENTS_AT_ONCE))
+
+
+def _embedded(weights: np.ndarray, vectors: np.ndarray, row: np.ndarray, index: np.ndarray, rows: int) -> np.ndarray:
+    """Weighted rows of ``vectors`` summed by the sorted ``index``, in steps of bounded memory."""
+    out = np.zeros((rows, vectors.shape[1]))
+    for a in range(0, len(row), STEP):
+        at = index[a : a + STEP]
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[start]] += np.add.reduceat(weights[a : a + STEP, None] * vectors[row[a : a + STEP]], start, axis=0)
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -243,7 +249,7 @@ class Model:
 
     def score(self, e: Encoded, mean: np.ndarray | None = None):
         """Cosine with each area and the weight of telling terms of each sentence."""
-        v = _sums((self.weight[e.term][:, None] * self.vectors[e.term]), e.sentence, e.sentences)
+        v = _embedded(self.weight[e.term], self.vectors, e.term, e.sentence, e.sentences)
         if mean is not None:
             v = v - mean[e.script]
         v = _unit(v)
@@ -293,8 +299,9 @@ def fit(corpus: DataFrame, examples: list[tuple[str, str]]) -> tuple[Model | Non
 
         def of(e: Encoded):
             doc, term, w = _doc_weights(e, idf, n_terms)
-            y = _sums(w[:, None] * sent.value[term], doc, e.docs)
-            return _sums(w[:, None] * y[doc], term, n_terms)
+            y = _embedded(w, sent.value, term, doc, e.docs)
+            order = np.argsort(term, kind="stable")
+            return _embedded(w[order], y, doc[order], term[order], n_terms)
 
         return _summed(encoded, n_terms, k, of)
 
@@ -323,7 +330,7 @@ def _mean_by_script(encoded: DataFrame, vectors: np.ndarray, idf: np.ndarray) ->
     k = vectors.shape[1]
 
     def of(e: Encoded):
-        v = _sums(idf[e.term][:, None] * vectors[e.term], e.sentence, e.sentences)
+        v = _embedded(idf[e.term], vectors, e.term, e.sentence, e.sentences)
         return np.array([np.append(v[e.script == s].sum(0), (e.script == s).sum()) for s in (0, 1)])
 
     total = _summed(encoded, 2, k + 1, of)
@@ -372,12 +379,9 @@ def subject_areas(corpus: DataFrame, examples: DataFrame) -> DataFrame:
 
     def judge(batches):
         m = sent.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            e = Encoded(batch)
+        for e in _blocks(batches):
             doc, area = np.nonzero(about(m, e) > SHARE * e.per_doc[:, None])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array([names[a] for a in area], pa.string())], names=["doc_id", "area"])
+            yield pa.RecordBatch.from_arrays([e.ids.take(pa.array(doc)), pa.array([names[a] for a in area], pa.string())], names=["doc_id", "area"])
 
     return encoded.mapInArrow(judge, "doc_id long, area string")
 
