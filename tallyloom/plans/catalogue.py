@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import problems, usage
+from tallyloom.plans import media, problems, usage
 
-MODULES = [problems, usage]
+MODULES = [problems, usage, media]
 FLAGSHIP = usage.usage_daily
 
 
