@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import media, problems, usage
+from tallyloom.plans import fixtures, media, problems, texts, usage
 
-MODULES = [problems, usage, media]
+MODULES = [problems, usage, media, texts, fixtures]
 FLAGSHIP = usage.usage_daily
 
 
