@@ -14,14 +14,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.columns import fresh_name
 from tallyloom.operators import scans
+from tallyloom.operators.intervals import periods_and_gaps
 from tallyloom.session import write_cut
 
 #: Identifiers ending in up to this many hexadecimal digits carry a sequence number.
 HEX_DIGITS = 15
 _SEQUENCE = rf"^(.*[^0-9a-f]|)([0-9a-f]{{1,{HEX_DIGITS}}})$"
+#: Copies of one message that a task holds back at most.
+HELD_COPIES = 200_000
 KEYS = ["scope", "attempt", "producer", "width"]
 
 
@@ -41,7 +46,7 @@ def message_identity(identifier: Column) -> tuple[Column, Column, Column]:
 
 def deliveries(df: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
     """The rows that carry a whole message key, with its parts."""
-    name = F.lower(F.btrim(F.col(identifier), F.lit(" \t\r\n 　")))
+    name = F.lower(F.btrim(F.col(identifier), F.lit(" \t\r\n\u00a0\u3000")))
     producer, width, seq = message_identity(F.col("__name"))
     whole = df.where(F.col(scope).isNotNull() & F.col(attempt).isNotNull() & (name != "")).select(
         F.col(scope).alias("scope"), F.col(attempt).cast("int").alias("attempt"), name.alias("__name"), F.col(row).cast("long").alias("row_id")
@@ -102,7 +107,7 @@ def _covered(batches):
                 if len(start):
                     yield from _listed(key, first, rows, False, True)
                     rows = rows[:0]
-                elif len(rows) > scans_limit:
+                elif len(rows) > HELD_COPIES:
                     # Too many copies to hold: a message that fills a block is listed as an edge.
                     yield from _listed(key, first, rows, True, True)
                     rows, at_begin = rows[:0], True
@@ -129,10 +134,6 @@ def _covered(batches):
         yield from _listed(held[0], held[1], held[3], True, held[2] > 1)
 
 
-#: Copies of one message that a task holds back at most.
-scans_limit = 200_000
-
-
 def _listed(key, first, rows, edge, many):
     n = len(rows)
     if not n:
@@ -156,8 +157,9 @@ def _batch(part, first, edge, many):
 
 def delivered_once(df: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
     """``df`` with exactly one row of each message: the one that came first; rows that are no copies stay."""
-    again = copies(df, scope, identifier, attempt, row).where("row_id <> kept_row_id").select(F.col("row_id").alias("__again"))
-    return df.join(again, F.col(row) == F.col("__again"), "left_anti")
+    key = fresh_name(df.columns, "again")
+    again = copies(df, scope, identifier, attempt, row).where("row_id <> kept_row_id").select(F.col("row_id").alias(key))
+    return df.join(again, df[row] == again[key], "left_anti")
 
 
 def copy_pairs(found: DataFrame) -> DataFrame:
@@ -178,8 +180,6 @@ def seen_ranges(df: DataFrame, scope: str, identifier: str, attempt: str, row: s
     if earlier is not None:
         numbers = numbers.unionByName(earlier.select(*KEYS, "lo", "hi"))
     # Half-open intervals touch where the next number follows.
-    from tallyloom.operators.intervals import periods_and_gaps
-
     spans = periods_and_gaps(numbers.select(*KEYS, F.col("lo").alias("from_ms"), (F.col("hi") + 1).alias("upto_ms")), KEYS)
     return spans.where("span = 'period'").select(*KEYS, F.col("from_ms").alias("lo"), (F.col("upto_ms") - 1).alias("hi"))
 
@@ -188,8 +188,6 @@ def unseen(df: DataFrame, ranges: DataFrame, scope: str, identifier: str, attemp
     """The first row of each message of a new batch whose number no range of former batches covers."""
     new = deliveries(df, scope, identifier, attempt, row).groupBy(*KEYS, "seq").agg(F.min("row_id").alias("row_id"))
     # As-of lookup: the last range that begins at or before the number, by one sort of both sides.
-    from pyspark.sql import Window as W
-
     events = new.select(*KEYS, F.col("seq").alias("at"), F.lit(1).alias("kind"), "row_id", F.lit(None).cast("long").alias("hi")).unionByName(
         ranges.select(*KEYS, F.col("lo").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_id"), "hi")
     )
@@ -198,4 +196,6 @@ def unseen(df: DataFrame, ranges: DataFrame, scope: str, identifier: str, attemp
     events = events.withColumn("block", F.explode(F.when(F.col("kind") == 0, F.sequence(F.floor(F.col("at") / block), F.floor(F.col("hi") / block))).otherwise(F.array(F.floor(F.col("at") / block)))))
     top = F.max("hi").over(W.partitionBy(*KEYS, "block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
     judged = events.withColumn("top", top).where((F.col("kind") == 1) & (F.col("top").isNull() | (F.col("top") < F.col("at"))))
-    return df.join(judged.select(F.col("row_id").alias("__row")), F.col(row) == F.col("__row"), "left_semi")
+    key = fresh_name(df.columns, "row")
+    first = judged.select(F.col("row_id").alias(key))
+    return df.join(first, df[row] == first[key], "left_semi")
