@@ -38,8 +38,6 @@ ABOUT, COSINE = 5.0, 0.4
 HINT = 1.5
 #: The share of a document's sentences that must be exceeded.
 SHARE = 0.25
-#: A part of a line that starts as at least this share of such parts do starts a sentence.
-OPENS = 0.5
 BLOCK = 1024
 #: Documents and term occurrences that a task works on at once.
 DOCUMENTS_AT_ONCE, STEP = 2_000, 20_000
@@ -73,22 +71,35 @@ def _pieces(text: str):
                     yield piece
 
 
-def _clauses(piece: str) -> list[str] | None:
-    """The clauses of a Chinese piece, or none for other scripts."""
-    return [c for c in re.split("[，,]", piece) if c.strip()] if _HAN.search(piece) and ("，" in piece or "," in piece) else None
+def _clauses(piece: str) -> list[str]:
+    """The clauses of a Chinese piece without their signs; none for other scripts."""
+    return [c for c in (x.strip(" 。！？") for x in re.split("[，,]", piece)) if c] if _HAN.search(piece) else []
+
+
+def _head(clause: str) -> str:
+    return "h" + clause[:3]
+
+
+def _tail(clause: str) -> str:
+    return "t" + clause[-2:]
 
 
 def sentences(text: str | None, opening: dict[str, float] | None = None) -> list[str]:
-    """The sentences of a text; Chinese run-on lines are cut at clauses that open as sentences do."""
+    """The sentences of a text.
+
+    Chinese transcripts often have a comma where a sentence ends.  ``opening``
+    gives for the head of a clause and the tail of the one before how much
+    (log odds) they speak for a new sentence; without it commas part nothing.
+    """
     out: list[str] = []
     for piece in _pieces(text or ""):
-        clauses = _clauses(piece) if opening is not None and piece[-1] not in "。！？" else None
-        if not clauses or len(clauses) < 2:
+        clauses = _clauses(piece) if opening is not None else []
+        if len(clauses) < 2:
             out.append(piece)
             continue
         held = clauses[0]
-        for clause in clauses[1:]:
-            if opening.get(clause.strip()[:2], 1.0) >= OPENS:
+        for before, clause in zip(clauses, clauses[1:]):
+            if opening.get(_tail(before), 0.0) + opening.get(_head(clause), 0.0) > 0:
                 out.append(held)
                 held = clause
             else:
@@ -111,14 +122,21 @@ _COUNT = "kind string, term string, n long"
 
 
 def _openings(batches):
-    """How often two characters open a sentence (o) or a later clause (c), in texts with closing signs."""
+    """How often a clause's head and the tail before it stand at a sentence's start (o) and inside one (c), in closed sentences."""
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
+            last = None
             for piece in _pieces(text):
-                if piece[-1] in "。！？" and (clauses := _clauses(piece) or [piece]) and _HAN.search(piece):
-                    counts["o", clauses[0].strip()[:2]] += 1
-                    counts.update(("c", c.strip()[:2]) for c in clauses[1:])
+                clauses = _clauses(piece)
+                if not clauses or len(clauses) > 3 or piece[-1] not in "。！？" or piece[0] in "，,":
+                    last = None
+                    continue
+                if last is not None:
+                    counts.update([("o", _tail(last)), ("o", _head(clauses[0]))])
+                for x, y in zip(clauses, clauses[1:]):
+                    counts.update([("c", _tail(x)), ("c", _head(y))])
+                last = clauses[-1]
         if len(counts) > 300_000:
             yield _count_batch(counts)
             counts.clear()
@@ -277,7 +295,8 @@ def fit(corpus: DataFrame, examples: list[tuple[str, str]]) -> tuple[Model | Non
     counted = corpus.mapInArrow(_openings, _COUNT).groupBy("kind", "term").agg(F.sum("n").alias("n"))
     both = counted.groupBy("term").pivot("kind", ["o", "c"]).agg(F.first("n")).fillna(0).where(F.col("o") + F.col("c") >= MIN_SENTENCES)
     rows = both.orderBy(F.desc(F.col("o") + F.col("c")), "term").limit(MAX_TERMS).collect()  # part of the model
-    opening = spark.sparkContext.broadcast({r.term: r.o / (r.o + r.c) for r in rows})
+    starts, inner = (sum(getattr(r, k) for r in rows) + 2 for k in ("o", "c"))
+    opening = spark.sparkContext.broadcast({r.term: float(np.log((r.o + 1) / starts) - np.log((r.c + 1) / inner)) for r in rows})
     counts = cut(corpus.mapInArrow(_term_counts(opening), _COUNT).groupBy("kind", "term").agg(F.sum("n").alias("n")), "terms")
     total = counts.where("kind = 'n'").agg(F.sum("n")).first()[0]
     top = counts.where(f"kind = 't' and n >= {MIN_SENTENCES}").orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()  # the vocabulary
