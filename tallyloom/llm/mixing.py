@@ -46,7 +46,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 20260101) -> DataFrame
     sources that no mix names are left out; an empty input gives no rows.
     """
     named = targets.select("source").where("source is not null").distinct()
-    sized = items.where("n_tokens > 0").join(F.broadcast(named), "source")
+    sized = items.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(F.broadcast(named), "source")
     per_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("texts"))
     most = per_source.agg(F.max("texts").alias("m")).first().m or 1
     bits = min(24, max(2, math.ceil(math.log2(max(1, most / RANGE_TEXTS))) + 1))

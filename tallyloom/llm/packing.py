@@ -122,7 +122,7 @@ def pack(items: DataFrame, limits: DataFrame, source_conflicts: list[tuple[str,
     source_no = F.lit(0)
     for s, i in number.items():
         source_no = F.when(F.col("source") == s, i).otherwise(source_no)
-    sized = items.where("n_tokens > 0")
+    sized = items.where("n_tokens > 0").select("doc_id", "source", "n_tokens", "cluster")
     groups = max(1, -(-sized.count() // GROUP_ITEMS))
     wanted = F.broadcast(limits.where("capacity_tokens >= 1 and limit_name is not null").select("limit_name", F.col("capacity_tokens").cast("long").alias("capacity")))
     # The limits are a small table of parameters: every text is measured against each of them.
