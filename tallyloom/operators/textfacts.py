@@ -47,16 +47,20 @@ def slugs(facts: DataFrame) -> DataFrame:
     return heads.select("doc_id", "ord", "level", F.col("value").alias("title"), F.when(k == 0, F.col("base")).otherwise(F.concat_ws("-", "base", k.cast("string"))).alias("anchor"))
 
 
+#: Units that may stand directly behind a number.
+UNITS = "%|[munµ]?s|min|h|[kMG]?Hz|[KMGT]?i?B|[cmk]?m|[mk]?g|m?V|[mk]?A|[mkM]?W|K"
+
+
 def number_tokens(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Tokens with a digit: doc_id, at (from 0), token, kind (number, quantity, identifier), amount, unit."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9_.,%]*[0-9][A-Za-z0-9_.,%]*"), F.lit(0))
     rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(found).alias("at", "raw"))
     rows = rows.withColumn("token", F.regexp_replace(F.regexp_replace("raw", r"^[.,]+", ""), r"[.,]+$", ""))
     number = F.col("token").rlike(r"^[0-9]+(?:[.,][0-9]+)*$")
-    quantity = F.col("token").rlike(r"^[0-9]+(?:[.,][0-9]+)*(?:%|[a-zA-Z]{1,3})$")
+    quantity = F.col("token").rlike(rf"^[0-9]+(?:[.,][0-9]+)*(?:{UNITS})$")
     kind = F.when(number, "number").when(quantity, "quantity").otherwise("identifier")
     amount = F.when(kind != "identifier", F.regexp_extract("token", r"^[0-9.,]*[0-9]", 0))
-    return rows.select("doc_id", "at", "token", kind.alias("kind"), amount.alias("amount"), F.when(kind == "quantity", F.regexp_extract("token", r"(%|[a-zA-Z]+)$", 1)).alias("unit"))
+    return rows.select("doc_id", "at", "token", kind.alias("kind"), amount.alias("amount"), F.when(kind == "quantity", F.regexp_extract("token", r"[^0-9]+$", 0)).alias("unit"))
 
 
 def templates(rows: DataFrame, text: str) -> DataFrame:

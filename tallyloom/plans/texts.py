@@ -154,9 +154,9 @@ ORACLES = {
     "section_sizes": _LINES + f", s AS (SELECT doc_id, kind, last_value(CASE WHEN kind = 'heading' THEN {_TITLE} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM p) SELECT doc_id, section, count(*) AS n FROM s WHERE kind IN ('item', 'paragraph') GROUP BY 1, 2",
     "table_cells": _LINES + ", t AS (SELECT doc_id, line_no, trim(line) AS v, row_number() OVER (PARTITION BY doc_id, g ORDER BY line_no) - 1 AS r FROM (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM p WHERE kind IN ('table', 'rule')) WHERE kind = 'table' ), u AS (SELECT doc_id, line_no, r, string_split(regexp_replace(regexp_replace(v, '^\\|', ''), '\\|$', ''), '|') AS c FROM t) SELECT doc_id, line_no, CAST(r AS INTEGER) AS row, unnest(range(0, len(c))) AS col, trim(unnest(c)) AS cell FROM u",
     "line_offsets": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL) SELECT doc_id, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", length(line) AS length FROM l",
-    "number_tokens": """WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z0-9_.,%]*[0-9][A-Za-z0-9_.,%]*')), '^[.,]+', ''), '[.,]+$', '') AS token FROM documents WHERE text IS NOT NULL),
-      k AS (SELECT *, CASE WHEN regexp_full_match(token, '[0-9]+([.,][0-9]+)*') THEN 'number' WHEN regexp_full_match(token, '[0-9]+([.,][0-9]+)*(%|[a-zA-Z]{1,3})') THEN 'quantity' ELSE 'identifier' END AS kind FROM r)
-      SELECT doc_id, token, kind, CASE WHEN kind <> 'identifier' THEN regexp_extract(token, '^[0-9.,]*[0-9]') END AS amount, CASE WHEN kind = 'quantity' THEN regexp_extract(token, '(%|[a-zA-Z]+)$', 1) END AS unit, count(*) AS n FROM k GROUP BY ALL""",
+    "number_tokens": f"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z0-9_.,%]*[0-9][A-Za-z0-9_.,%]*')), '^[.,]+', ''), '[.,]+$', '') AS token FROM documents WHERE text IS NOT NULL),
+      k AS (SELECT *, CASE WHEN regexp_full_match(token, '[0-9]+([.,][0-9]+)*') THEN 'number' WHEN regexp_full_match(token, '[0-9]+([.,][0-9]+)*({textfacts.UNITS})') THEN 'quantity' ELSE 'identifier' END AS kind FROM r)
+      SELECT doc_id, token, kind, CASE WHEN kind <> 'identifier' THEN regexp_extract(token, '^[0-9.,]*[0-9]') END AS amount, CASE WHEN kind = 'quantity' THEN regexp_extract(token, '[^0-9]+$') END AS unit, count(*) AS n FROM k GROUP BY ALL""",
     "message_templates": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) SELECT regexp_replace(line, '[0-9]+', 'N', 'g') AS template, count(*) AS n, min(line) AS sample FROM l WHERE line <> '' GROUP BY 1",
     "term_counts": "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents WHERE text IS NOT NULL) SELECT doc_id, term, count(*) AS n FROM w WHERE term IN ('cell', 'bar', 'pitch', 'port', 'the') GROUP BY 1, 2",
     "equal_texts": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",

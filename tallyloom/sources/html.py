@@ -14,71 +14,90 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SKIPPED = {"script", "style", "template", "noscript", "head"}
 
 
+#: Elements whose start or end closes what is left open inside.
+LISTS, ROWS = {"ul", "ol", "dl"}, {"table", "tr", "thead", "tbody"}
+ITEMS = {"li", "dt", "dd"}
+
+
 class _Blocks(HTMLParser):
+    """Collects blocks in the order in which they begin; open paragraphs, items and cells end where the next one begins."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, int, str, str]] = []
-        self.stack: list[str] = []
-        self.open: list[list] = []  # kind, level, pieces
-        self.skip = 0
-        self.loose: list[str] = []
-
-    def _close_loose(self):
-        text = " ".join("".join(self.loose).split())
-        if text:
-            self.out.append(("text", 0, text, ""))
-        self.loose = []
+        self.out: list[tuple[int, tuple[str, int, str, str]]] = []
+        self.open: list[dict] = []
+        self.lists = self.begun = self.skip = 0
+        self.preformatted = 0
+
+    def _begin(self, kind, level, tag):
+        self.begun += 1
+        self.open.append({"kind": kind, "level": level, "tag": tag, "at": self.begun, "pieces": []})
+
+    def _end(self, k):
+        """Ends the open blocks from ``k`` on."""
+        for block in self.open[k:]:
+            raw = "".join(block["pieces"])
+            text = raw.strip("\n") if block["kind"] == "code_block" else " ".join(raw.split())
+            if text or block["kind"] in ("cell", "header_cell"):
+                self.out.append((block["at"], (block["kind"], block["level"], text, "")))
+        del self.open[k:]
+
+    def _innermost(self, tags, until=()):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k]["tag"] in tags:
+                return k
+            if self.open[k]["tag"] in until:
+                return None
+        return None
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag in SKIPPED:
             self.skip += 1
-        if tag not in VOID:
-            self.stack.append(tag)
         if self.skip:
             return
-        if tag == "img":
-            self.out.append(("image", 0, attrs.get("alt") or "", attrs.get("src") or ""))
-        elif tag == "a" and attrs.get("href"):
-            self.out.append(("link", 0, "", attrs["href"]))
+        if tag == "img" or tag == "a" and attrs.get("href"):
+            self.begun += 1
+            self.out.append((self.begun, ("image", 0, attrs.get("alt") or "", attrs.get("src") or "") if tag == "img" else ("link", 0, "", attrs["href"])))
         elif tag == "br":
-            self.handle_data("\n" if "pre" in self.stack else " ")
+            self.handle_data("\n" if self.preformatted else " ")
         kind = BLOCKS.get(tag) or ("heading" if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else None)
-        if kind:
-            self._close_loose()
-            level = int(tag[1]) if kind == "heading" else sum(t in ("ul", "ol", "dl") for t in self.stack)
-            self.open.append([kind, level, [], tag])
+        if kind or tag in LISTS or tag in ROWS:
+            if (k := self._innermost({"p", ""})) is not None:
+                self._end(k)
+        if tag in ITEMS and (k := self._innermost(ITEMS, LISTS)) is not None:
+            self._end(k)
+        if tag in ("td", "th", "tr") and (k := self._innermost({"td", "th"}, {"table"})) is not None:
+            self._end(k)
+        if tag in LISTS or tag == "table":
+            self.lists += tag in LISTS
+            self._begin("container", 0, tag)
+        elif kind:
+            self.preformatted += tag == "pre"
+            self._begin(kind, int(tag[1]) if kind == "heading" else self.lists, tag)
 
     def handle_endtag(self, tag):
         if tag in SKIPPED and self.skip:
             self.skip -= 1
-        if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][3] == tag:
-                for kind, level, pieces, _ in self.open[k:]:
-                    raw = "".join(pieces)
-                    text = raw.strip("\n") if kind == "code_block" else " ".join(raw.split())
-                    if text or kind in ("cell", "header_cell"):
-                        self.out.append((kind, level, text, ""))
-                del self.open[k:]
-                break
+            return
+        if (k := self._innermost({tag})) is not None:
+            self.lists -= sum(b["tag"] in LISTS for b in self.open[k:])
+            self.preformatted -= sum(b["tag"] == "pre" for b in self.open[k:])
+            self._end(k)
 
     def handle_data(self, data):
         if self.skip:
             return
-        (self.open[-1][2] if self.open else self.loose).append(data)
+        if not self.open or self.open[-1]["kind"] == "container":
+            if not data.strip():
+                return
+            self._begin("text", 0, "")
+        self.open[-1]["pieces"].append(data)
 
     def finish(self):
         self.close()
-        for kind, level, pieces, _ in self.open:
-            text = " ".join("".join(pieces).split())
-            if text:
-                self.out.append((kind, level, text, ""))
-        self.open = []
-        self._close_loose()
-        return self.out
+        self._end(0)
+        return [block for _, block in sorted(self.out) if block[0] != "container"]
 
 
 def blocks(page: str | None) -> list[tuple[str, int, str, str]]:
