@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import Written, write_cut
 
+#: Recorded rounds that are reversed in one run.
+ROUNDS_AT_ONCE = 3
+
 
 def _round(edges: DataFrame, number: int) -> DataFrame:
     """One contraction: the rows of ``edges`` with ``gone`` set for those that it removes.
@@ -75,16 +78,13 @@ def _expand(removed: list[Written], rest: DataFrame) -> DataFrame:
     # What is left are single nodes of cycles that are their own parents.
     on_cycle = rest.select(F.explode(F.concat("between", F.array("id"))).alias("node"))
     parts = [write_cut(rest.select("id", F.lit(-2).alias("depth"), F.lit(None).cast("array<string>").alias("path")), "resolved")]
-    for table in reversed(removed):
-        gone = table.read().where("gone")
-        have = _union(parts).select(F.col("id").alias("k"), F.col("depth").alias("k_depth"), F.col("path").alias("k_path"))
-        up = gone.join(have, gone.parent == have.k, "left")
-        below = F.col("k_depth") < 0
-        block = up.select(
-            "id",
-            F.when(F.col("parent").isNull(), F.lit(0)).when(below, F.lit(-2)).otherwise(F.col("k_depth") + F.size("between") + 1).alias("depth"),
-            F.when(F.col("parent").isNull(), F.array("id")).when(~below, F.concat("k_path", "between", F.array("id"))).alias("path"),
-        )
+    for first in range(len(removed), 0, -ROUNDS_AT_ONCE):
+        # Some rounds in one run; each joins what is written with what the rounds after it resolve.
+        block: DataFrame | None = None
+        for table in reversed(removed[max(0, first - ROUNDS_AT_ONCE) : first]):
+            have = _union(parts) if block is None else _union(parts).unionByName(block)
+            fresh = _attached(table.read().where("gone"), have)
+            block = fresh if block is None else block.unionByName(fresh)
         parts.append(write_cut(block, "resolved"))
     for table in removed[:-1]:
         table.drop()
@@ -98,6 +98,18 @@ def _expand(removed: list[Written], rest: DataFrame) -> DataFrame:
     )
 
 
+def _attached(gone: DataFrame, have: DataFrame) -> DataFrame:
+    """Depth and path of removed nodes from those of the nodes that they hang from."""
+    above = have.select(F.col("id").alias("k"), F.col("depth").alias("k_depth"), F.col("path").alias("k_path"))
+    up = gone.join(above, gone.parent == above.k, "left")
+    below = F.col("k_depth") < 0
+    return up.select(
+        "id",
+        F.when(F.col("parent").isNull(), F.lit(0)).when(below, F.lit(-2)).otherwise(F.col("k_depth") + F.size("between") + 1).alias("depth"),
+        F.when(F.col("parent").isNull(), F.array("id")).when(~below, F.concat("k_path", "between", F.array("id"))).alias("path"),
+    )
+
+
 def _union(parts: list[Written]) -> DataFrame:
     out = parts[0].read()
     for part in parts[1:]:
