@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 
 def classify_source(c: Column) -> Column:
     """The group of a query source."""
@@ -97,44 +99,83 @@ def wall_clock(df: DataFrame, by: list[str], start: str, end: str, upto_ms: int)
 # --- ordered logs ------------------------------------------------------------------
 
 
-def forward_fill(df: DataFrame, by: list[str], order: list[str], columns: list[str], resets: Column | None = None) -> DataFrame:
+CHUNK = "__chunk"
+
+
+def chunked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` in range chunks by ``by`` and ``order``, numbered in ``__chunk``: a key of any size spreads over tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *by, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
+
+
+def _carried(rows: DataFrame, by: list[str], summary: list[Column], carry: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that tell of the earlier chunks of their key.
+
+    ``summary``: aggregates of a chunk.  ``carry``: window expressions over a
+    key's chunks, one row each.
+    """
+    chunks = rows.groupBy(*by, CHUNK).agg(*summary)
+    told = chunks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*by, CHUNK])], *[c.alias(n) for n, c in carry.items()])
+    on = F.lit(True)
+    for i, k in enumerate([*by, CHUNK]):
+        on = on & rows[k].eqNullSafe(told[f"__k{i}"])
+    return rows.join(told, on, "left").drop(*[f"__k{i}" for i in range(len(by) + 1)])
+
+
+def forward_fill(df: DataFrame, by: list[str], order: list[str], columns: list[str], resets: Column | None = None, spread: bool = False) -> DataFrame:
     """Adds ``ctx_<column>``: the value of the last context row at or before each row.
 
     Without ``resets`` a context row of a column is one with a value.  With it,
     every row where it is true sets all columns, to null if they are null.
+    ``spread`` cuts keys with very many rows into chunks.
     """
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    if resets is None:
-        return df.withColumns({f"ctx_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
-    held = F.last(F.when(resets, F.struct(*columns)), ignorenulls=True).over(w)
-    out = df.withColumn("__held", held)
-    return out.withColumns({f"ctx_{c}": F.col("__held")[c] for c in columns}).drop("__held")
-
-
-def counter_deltas(df: DataFrame, by: list[str], order: list[str], counters: list[str]) -> DataFrame:
+    states = {"__all": F.when(resets, F.struct(*columns))} if resets is not None else {f"__{c}": F.when(F.col(c).isNotNull(), F.struct(c)) for c in columns}
+    rows, keys = (chunked(df, by, order), [*by, CHUNK]) if spread else (df, by)
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if spread:
+        at = F.struct(*order)
+        before = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        rows = _carried(rows, by, [F.max_by(s, F.when(s.isNotNull(), at)).alias(n) for n, s in states.items()], {f"{n}_before": F.last(n, ignorenulls=True).over(before) for n in states})
+    held = {n: F.last(s, ignorenulls=True).over(w) for n, s in states.items()}
+    out = rows.withColumns({n: F.coalesce(h, F.col(f"{n}_before")) if spread else h for n, h in held.items()})
+    out = out.withColumns({f"ctx_{c}": F.col("__all" if resets is not None else f"__{c}")[c] for c in columns})
+    return out.drop(*states, *[f"{n}_before" for n in states], CHUNK)
+
+
+def counter_deltas(df: DataFrame, by: list[str], order: list[str], counters: list[str], spread: bool = False) -> DataFrame:
     """Differences of cumulative counters: delta_<counter> and ``issue``.
 
     A first reading above zero has no baseline, a decrease is a reset; both
-    give null differences.
+    give null differences.  ``spread`` cuts keys with very many rows into
+    chunks.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    before = {c: F.lag(c).over(w) for c in counters}
-    out = df.withColumn("__first", first).withColumns({f"__b_{c}": b for c, b in before.items()})
+    rows, keys = (chunked(df, by, order), [*by, CHUNK]) if spread else (df, by)
+    w = W.partitionBy(*keys).orderBy(*order)
+    previous = F.lag(F.struct(*counters)).over(w)
+    if spread:
+        rows = _carried(rows, by, [F.max_by(F.struct(*counters), F.struct(*order)).alias("__s")], {"__before": F.lag("__s").over(W.partitionBy(*by).orderBy(CHUNK))})
+        previous = F.coalesce(previous, F.col("__before"))
+    out = rows.withColumn("__p", previous)
+    first = F.col("__p").isNull()
     fell, based = F.lit(False), F.lit(False)
     for c in counters:
-        fell = fell | F.coalesce(F.col(c) < F.col(f"__b_{c}"), F.lit(False))
-        based = based | (F.col("__first") & F.coalesce(F.col(c) > 0, F.lit(False)))
+        fell = fell | F.coalesce(F.col(c) < F.col("__p")[c], F.lit(False))
+        based = based | (first & F.coalesce(F.col(c) > 0, F.lit(False)))
     out = out.withColumn("issue", F.when(based, "no baseline").when(fell, "reset"))
-    return out.withColumns({f"delta_{c}": F.when(F.col("issue").isNull(), F.when(F.col("__first"), F.col(c)).otherwise(F.col(c) - F.col(f"__b_{c}"))) for c in counters}).drop(
-        "__first", *[f"__b_{c}" for c in counters]
-    )
-
-
-def epochs(df: DataFrame, by: list[str], order: list[str], closes: Column) -> DataFrame:
-    """Adds ``epoch``: how many closing rows stand before each row of its group."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("epoch", F.coalesce(F.sum(F.when(closes, 1).otherwise(0)).over(w), F.lit(0)))
+    out = out.withColumns({f"delta_{c}": F.when(F.col("issue").isNull(), F.when(first, F.col(c)).otherwise(F.col(c) - F.col("__p")[c])) for c in counters})
+    return out.drop("__p", "__before", CHUNK)
+
+
+def epochs(df: DataFrame, by: list[str], order: list[str], closes: Column, spread: bool = False) -> DataFrame:
+    """Adds ``epoch``: how many closing rows stand before each row of its key.  ``spread`` cuts keys with very many rows into chunks."""
+    rows, keys = (chunked(df, by, order), [*by, CHUNK]) if spread else (df, by)
+    one = F.when(closes, 1).otherwise(0)
+    local = F.coalesce(F.sum(one).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if spread:
+        before = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        rows = _carried(rows, by, [F.sum(one).alias("__n")], {"__before": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+        local = local + F.col("__before")
+    return rows.withColumn("epoch", local).drop("__before", CHUNK)
 
 
 def without_covered(fallback: DataFrame, direct: DataFrame, keys: list[str]) -> DataFrame:

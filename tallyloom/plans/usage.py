@@ -190,23 +190,23 @@ def throughput_by_day(spark, sf_dir):
 def context_fill(spark, sf_dir):
     """The model last named before each record of a turn."""
     rows = read_table(spark, sf_dir, "model_usage").where("turn_id is not null").select("row_id", "session_id", "turn_id", "provider_id", "query_source")
-    return metering.forward_fill(rows, ["session_id", "turn_id"], ["row_id"], ["provider_id", "query_source"]).select("row_id", "ctx_provider_id", "ctx_query_source")
+    return metering.forward_fill(rows, ["session_id", "turn_id"], ["row_id"], ["provider_id", "query_source"], spread=True).select("row_id", "ctx_provider_id", "ctx_query_source")
 
 
 def context_reset(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    filled = metering.forward_fill(rows, ["user_id"], ["event_id"], ["props"], F.col("event_type") == "signup")
+    filled = metering.forward_fill(rows, ["user_id"], ["event_id"], ["props"], F.col("event_type") == "signup", spread=True)
     return filled.select("event_id", "ctx_props")
 
 
 def counter_differences(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return metering.counter_deltas(rows, ["user_id"], ["event_id"], ["k"]).select("event_id", "delta_k", "issue")
+    return metering.counter_deltas(rows, ["user_id"], ["event_id"], ["k"], spread=True).select("event_id", "delta_k", "issue")
 
 
 def reply_epochs(spark, sf_dir):
     """Events between two purchases of a user, and whether exactly one of them is a click."""
-    rows = metering.epochs(read_table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") == "purchase")
+    rows = metering.epochs(read_table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") == "purchase", spread=True)
     return rows.groupBy("user_id", "epoch").agg(F.count("*").alias("n"), (F.count(F.when(F.col("event_type") == "click", 1)) == 1).alias("one_click"))
 
 

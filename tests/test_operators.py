@@ -87,6 +87,18 @@ def test_forward_fill_resets_to_null(spark):
     assert kept == ["m1"] * 4 and reset == ["m1", "m1", None, None]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_spread_windows_equal_plain_ones(spark, seed):
+    random.seed(seed)
+    rows = [(random.choice(["hot"] * 8 + ["a", "b", None]), n, random.choice([None, "x", "y", "z"]), random.choice(["ctx", "o", "o"]), random.choice([None, 0, n, n // 2])) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, n int, m string, t string, v long")
+    same = lambda f: sorted(map(str, f(False).select("*").collect())) == sorted(map(str, f(True).select(f(False).columns).collect()))
+    assert same(lambda s: metering.forward_fill(df, ["k"], ["n"], ["m", "v"], spread=s))
+    assert same(lambda s: metering.forward_fill(df, ["k"], ["n"], ["m", "v"], F.col("t") == "ctx", spread=s))
+    assert same(lambda s: metering.counter_deltas(df, ["k"], ["n"], ["v"], spread=s))
+    assert same(lambda s: metering.epochs(df, ["k"], ["n"], F.col("t") == "ctx", spread=s))
+
+
 def test_days_with_clock_changes(spark):
     at = lambda s: int(__import__("datetime").datetime.fromisoformat(s).timestamp() * 1000)
     rows = [(at("2026-03-08T04:59:59+00:00"),), (at("2026-03-08T05:00:00+00:00"),), (at("2026-11-02T04:59:59+00:00"),), (None,)]
