@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import fixtures, media, problems, texts, usage
+from tallyloom.plans import fixtures, integrity, media, problems, texts, usage
 
-MODULES = [problems, usage, media, texts, fixtures]
+MODULES = [problems, usage, media, texts, fixtures, integrity]
 FLAGSHIP = usage.usage_daily
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,14 +34,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session), a folder of this process
-    is made and removed at its end.
+    Where the setting is absent, a local session gets a folder of this process,
+    removed at its end; a cluster a folder beside the tables of its warehouse,
+    which all its executors reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyloom-cuts"
     global _own_root
     if _own_root is None or not os.path.isdir(_own_root):
         _own_root = tempfile.mkdtemp(prefix="tallyloom-")

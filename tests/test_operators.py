@@ -328,3 +328,16 @@ def test_streams(spark, tmp_path):
     deltas = run(streams.counter_deltas(source(), "k", "at", "v"), "t_deltas")
     assert sorted((r.delta for r in deltas if r.k == "a"), key=str) == [0, 0, 1, 19, 39]
     assert [r.delta for r in deltas if r.k == "b"] == [None]
+
+
+def test_whole_texts():
+    from tallyloom.operators import integrity
+
+    text = "# a\n```\n# b\n```\n~~~~\n```\n~~~\n~~~~\n## c\n```\nopen"
+    assert integrity.demoted(text) == "## a\n```\n# b\n```\n~~~~\n```\n~~~\n~~~~\n### c\n```\nopen" and integrity.demoted(None) is None
+    bare, fences = integrity.with_placeholders(text)
+    assert len(fences) == 2 and integrity.spliced(bare, fences) == text
+    for broken in (bare.replace("FENCE:0", "FENCE:1"), bare + "\n[[FENCE:0]]", bare.replace("[[FENCE:1]]", "")):
+        with pytest.raises(ValueError):
+            integrity.spliced(broken, fences)
+    assert integrity.with_placeholders(None) == ("", [])
