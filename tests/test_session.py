@@ -14,11 +14,17 @@ def test_cut_keeps_rows_and_is_dropped(spark):
     assert not os.path.exists(path)
 
 
-def test_the_setting_counts(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        assert session.checkpoint_root(spark) == f"file://{tmp_path}/shared"
-        assert session.cut(spark.range(3)).count() == 3
-        assert os.listdir(tmp_path / "shared")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Fake:
+    """As much of a session as the choice of the folder reads."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda k, *d: conf.get(k, *d))})
+
+
+def test_where_cuts_are_written():
+    setting = {"spark.checkpoint.dir": "hdfs:///shared/"}
+    assert session.checkpoint_root(Fake("local[2]", **setting)) == session.checkpoint_root(Fake("spark://m:7077", **setting)) == "hdfs:///shared"
+    assert session.checkpoint_root(Fake("yarn", **{"spark.sql.warehouse.dir": "hdfs:///w"})) == "hdfs:///w/tallyloom-cuts"
+    assert session.checkpoint_root(Fake("local-cluster[2,1,1024]", **{"spark.sql.warehouse.dir": "file:/w/"})) == "file:/w/tallyloom-cuts"
+    assert session.checkpoint_root(Fake("local[*]")).startswith("file:///")
