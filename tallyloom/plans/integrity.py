@@ -18,6 +18,10 @@ GIVEN = [("s1", 0, "d1"), ("s2", 0, "other"), ("s3", 0, "d4"), ("s3", 0, "d4"),
 RANGES = [("1-3,5,3",), ("7",), ("2-1",), ("a",), (" 4 , 2-2 ",), (None,)]
 WIDTHS = [("120px", None, None, None), ("50%", "90", None, None), (None, "90", "10", 2.0), (None, None, "10px", 1.5), ("auto", None, None, 2.0)]
 IMAGES = [("a", 10, 20), ("a", 10, 20), ("b", 100, 50), (None, 9, 9)]
+SITE = [
+    ("a.html", "<h1 id='top'>A</h1><a href='b.html#x'>1</a><a href='b.html#y'>2</a><a href='#top'>3</a><a href='./c.html'>4</a><a href='https://x.example/'>5</a><table><tr><th rowspan=2>k</th><th colspan='2'>v</th></tr><tr><td>1<td>2</table>"),
+    ("b.html", "<p id=x>b<a href='a.html?q=1'>6</a></p>"),
+]
 MARKDOWN = "# One & two\n\nText link on.\n\n- items\n\n```\nx = 1\ny = 2\n```\n\nouttail"
 
 
@@ -137,6 +141,17 @@ def report_mismatches(spark, sf_dir):
     return compare.keyed_diff(saved, now, ["grp"], "v")
 
 
+def html_grid(spark, sf_dir):
+    """The grid places that the cells of HTML tables cover."""
+    cells = html.parse_tables(_t(spark, SITE, "page string, html string"), "page", "html")
+    grid = cells.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rowspan") - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)))
+    return grid.select("page_id", "table", F.col("r").alias("row"), F.col("c").alias("col"), "header", "text")
+
+
+def links_broken(spark, sf_dir):
+    return html.broken_links(html.parse_pages(_t(spark, SITE, "page string, html string"), "page", "html"))
+
+
 def page_reconciled(spark, sf_dir):
     """A page rendered as Markdown against a Markdown text of it, block by block; one item was changed."""
     parsed = html.parse_pages(_t(spark, [("1", PAGE)], "page string, html string"), "page", "html")
@@ -148,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         footnotes_unbalanced, number_changes, packages_merged, chunks_untiled, cues_ambiguous, lines_repeated, page_medians, code_tokens, headings_demoted, fences_spliced, page_line_kinds, page_ranges,
-        contents, channels_joined, image_widths, image_budget, anchors_encoded, report_mismatches, page_reconciled,
+        contents, channels_joined, html_grid, links_broken, image_widths, image_budget, anchors_encoded, report_mismatches, page_reconciled,
     )
 }
 
@@ -175,5 +190,7 @@ ORACLES = {
     "image_budget": "WITH " + _values("i", IMAGES, "digest, width, height") + ", f AS (SELECT digest, count(*) AS uses, max(width * height * 4) AS b FROM i WHERE digest IS NOT NULL GROUP BY 1) SELECT count(*) AS files, sum(uses)::BIGINT AS uses, sum(b)::BIGINT AS bytes_once, sum(b * uses)::BIGINT AS bytes_all, max(b)::BIGINT AS largest FROM f",
     "anchors_encoded": _HEADS + " SELECT DISTINCT anchor, 'n' || lower(hex(anchor)) AS name, true AS back FROM hd",
     "report_mismatches": "SELECT 'child' AS grp, 'changed' AS kind WHERE EXISTS (SELECT 1 FROM model_usage WHERE query_source IN ('subagent', 'workflow_child'))",
+    "html_grid": "SELECT 'a.html' AS page_id, 1 AS \"table\", * FROM (VALUES (0, 0, true, 'k'), (1, 0, true, 'k'), (0, 1, true, 'v'), (0, 2, true, 'v'), (1, 1, false, '1'), (1, 2, false, '2')) t (row, col, header, text)",
+    "links_broken": "SELECT 'a.html' AS src, * FROM (VALUES ('b.html#y', 'no anchor'), ('./c.html', 'no page')) t (target, problem)",
     "page_reconciled": "SELECT 1::BIGINT AS doc_id, 3 AS pos, 'item: item' AS left_value, 'item: items' AS right_value, 'changed' AS kind",
 }
