@@ -58,6 +58,14 @@ def _slots(parents: DataFrame, refs: DataFrame) -> list[tuple[int, int, int, int
     return out
 
 
+def _spread_numbers(spark, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning puts into ``n`` different partitions, as far as a search of 16 n numbers finds them."""
+    part = F.pmod(F.hash("id"), F.lit(n))
+    found = {r.p: r.id for r in spark.range(16 * n).groupBy(part.alias("p")).agg(F.min("id").alias("id")).collect()}  # n rows
+    spare = iter(k for k in range(16 * n) if k not in set(found.values()))
+    return [found[p] if p in found else next(spare) for p in range(n)]
+
+
 def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of ``refs`` whose target is missing, late or deleted, as ``state``.
 
@@ -84,9 +92,12 @@ def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     table = spark.createDataFrame(pa.table({"bin": np.arange(1 << BIN_BITS, dtype=np.int64), "slot0": first_slot, "tasks": tasks}))
     table = F.broadcast(table)  # 2^BIN_BITS rows
     asked = asked.withColumn("bin", _bin(F.col("h"))).join(table, "bin")
-    asked = asked.withColumn("slot", F.col("slot0") + F.pmod(F.monotonically_increasing_id(), F.col("tasks"))).drop("bin", "slot0", "tasks")
+    # Numbered so that no two slots fall into one partition.
+    n = max(1, sum(x[3] for x in ranges))
+    spread = F.broadcast(spark.createDataFrame(pa.table({"nth": np.arange(n, dtype=np.int64), "slot": np.array(_spread_numbers(spark, n), np.int64)})))  # one row for each task
+    asked = asked.withColumn("nth", F.col("slot0") + F.pmod(F.monotonically_increasing_id(), F.col("tasks"))).join(spread, "nth").drop("bin", "slot0", "tasks", "nth")
     stored = keyed.withColumn("bin", _bin(F.col("h"))).join(table, "bin")
-    stored = stored.withColumn("slot", F.explode(F.sequence(F.col("slot0"), F.col("slot0") + F.col("tasks") - 1))).select("slot", "h", "key", "seen", "gone")
+    stored = stored.withColumn("nth", F.explode(F.sequence(F.col("slot0"), F.col("slot0") + F.col("tasks") - 1))).join(spread, "nth").select((F.col("slot") + 0).alias("slot"), "h", "key", "seen", "gone")
     names = ["key", "at", *payload]
     types = {f.name: f.dataType.simpleString() for f in asked.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in payload) + ", at bigint, state string"
@@ -103,10 +114,9 @@ def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         return part.append_column("state", text)
 
     # One slot to a partition: the number of slots follows the data.
-    n = max(1, sum(x[3] for x in ranges))
-    spread = asked.select("slot", "h", *names).repartition(n, "slot")
+    probes = asked.select("slot", "h", *names).repartition(n, "slot")
     held = stored.repartition(n, "slot")
-    out = spread.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(probe, schema)
+    out = probes.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(probe, schema)
     return out.withColumn("at", F.timestamp_micros("at"))
 
 
