@@ -61,6 +61,8 @@ def copies(df: DataFrame, scope: str, identifier: str, attempt: str, row: str, p
     included.  Messages are known by ``scope``, ``identifier`` (ignoring case
     and surrounding blanks) and ``attempt``; rows in which one is null or the
     identifier is blank are no copies.  ``row`` is unique and follows arrival.
+    Identifiers of any length and form are taken whole; an empty table gives no
+    rows; other columns of ``df`` are left out.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = deliveries(df, scope, identifier, attempt, row)

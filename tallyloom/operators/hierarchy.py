@@ -48,7 +48,8 @@ def hierarchy(df: DataFrame, node: str, parent: str) -> DataFrame:
     or that is no node of ``df`` makes a root.  Rows with a null node are left
     out; of repeated nodes the row with the smallest parent counts, a null
     parent last.  A node on a cycle gets depth -1, a node below a cycle -2, both with null
-    root and ancestors.  Trees may be of any depth.
+    root and ancestors.  Trees may be of any depth.  An empty table gives no
+    rows; other columns of ``df`` are left out.
     """
     nodes = df.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.min(parent).alias("p"))
     known = nodes.select(F.col("id").alias("k"))

@@ -148,7 +148,15 @@ def lookup(keys: pa.Array, hashes: np.ndarray, parents: pa.Table) -> tuple[np.nd
 
 
 def usage_references(model_usage: DataFrame, turn_usage: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Every failing session and turn reference: ref_table, ref_field, row_id, state, ref_month."""
+    """Every failing session and turn reference: ref_table, ref_field, row_id, state, ref_month.
+
+    Null and empty references are none; a turn beside a null session finds
+    none.  Repeated parents count once, with their earliest times; repeated
+    rows of a referring table are judged each.  A row without arrival time can
+    only be missing and has a null month.  Empty tables of parents make every
+    reference missing, empty referring tables give no rows.  Other columns,
+    whatever their names, are left out before anything is joined.
+    """
     to_session = [
         df.where(has_text(F.col("session_id"))).select(
             F.concat(F.lit("s"), composite_key("session_id")).alias("key"), F.col("ingested_at").alias("at"),
