@@ -33,7 +33,9 @@ REFINEMENTS = 6
 #: Occurrences that a term's share by area is smoothed with.
 SMOOTHING = 5.0
 #: A sentence is about an area from this weight of telling terms on, with this cosine at least,
-ABOUT, COSINE = 5.0, 0.4
+ABOUT, COSINE = 5.0, 0.3
+#: while a refinement learns from sentences that are nearer,
+LEARN_COSINE = 0.4
 #: and is left for its document to decide from this weight on.
 HINT = 1.5
 #: The share of a document's sentences that must be exceeded.
@@ -49,6 +51,8 @@ _CUT = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9㐀-鿿])|(?<=[a-z]
 #: A capital word after a small letter begins a sentence where signs were left out.
 _RUN_ON = re.compile(r"(?<=[a-z0-9])\s+(?=[A-Z][a-z]+\b)")
 _WORD = re.compile(r"[a-z]+(?:[-'’][a-z]+)*")
+#: Chinese particles; a pair with one of them is no part of a word.
+PARTICLES = "的了"
 _HAN = re.compile(r"[㐀-鿿]+")
 _LETTER = re.compile(r"[A-Za-z㐀-鿿]")
 
@@ -109,10 +113,10 @@ def sentences(text: str | None, opening: dict[str, float] | None = None) -> list
 
 
 def terms(sentence: str) -> list[str]:
-    """Words of Latin script and pairs of Chinese characters."""
+    """Words of Latin script and pairs of Chinese characters without particles."""
     out = [w for w in _WORD.findall(sentence.lower()) if len(w) > 1]
     for run in _HAN.findall(sentence):
-        out += [run[i : i + 2] for i in range(len(run) - 1)]
+        out += [run[i : i + 2] for i in range(len(run) - 1) if run[i] not in PARTICLES and run[i + 1] not in PARTICLES]
     return out
 
 
@@ -282,7 +286,7 @@ class Model:
         cosine, weight = self.score(e, mean)
         first = cosine.argmax(1)
         top = np.sort(cosine, axis=1)
-        sure = (top[:, -1] > COSINE) & (top[:, -1] - top[:, -2] > margin) & (weight >= least)
+        sure = (top[:, -1] > LEARN_COSINE) & (top[:, -1] - top[:, -2] > margin) & (weight >= least)
         return np.where(sure, first, len(self.areas))
 
 
