@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,39 @@ def build_session(cpus: int = 8, shuffle: int | None = None, memory: str = "8g")
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that tasks can import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallyloom-code-")  # the driver serves the file; executors never read this folder
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tallyloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as pack:
+        for place, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    pack.write(full, os.path.join("tallyloom", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, which sends the package first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
