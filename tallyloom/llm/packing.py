@@ -124,9 +124,11 @@ def pack(items: DataFrame, limits: DataFrame, source_conflicts: list[tuple[str,
         source_no = F.when(F.col("source") == s, i).otherwise(source_no)
     sized = items.where("n_tokens > 0").select("doc_id", "source", "n_tokens", "cluster")
     groups = max(1, -(-sized.count() // GROUP_ITEMS))
-    wanted = F.broadcast(limits.where("capacity_tokens >= 1 and limit_name is not null").select("limit_name", F.col("capacity_tokens").cast("long").alias("capacity")))
-    # The limits are a small table of parameters: every text is measured against each of them.
-    pieces = sized.join(wanted, F.lit(True)).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int"))))
+    # The limits are a fixed table of parameters; every text is measured against each of them.
+    wanted = limits.where("capacity_tokens >= 1 and limit_name is not null").select("limit_name", F.col("capacity_tokens").cast("long").alias("capacity")).collect()
+    each = F.array(*[F.struct(F.lit(r.limit_name).alias("limit_name"), F.lit(r.capacity).cast("long").alias("capacity")) for r in wanted])
+    measured = sized.withColumn("limit", F.explode(each.cast("array<struct<limit_name:string,capacity:bigint>>"))).select("limit.*", *sized.columns)
+    pieces = measured.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int"))))
     pieces = pieces.select(
         "limit_name", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"), "doc_id", "part_no",
         F.least(F.col("capacity"), F.col("n_tokens") - F.col("part_no") * F.col("capacity")).alias("n_tokens"), source_no.cast("int").alias("source_no"), "cluster",
