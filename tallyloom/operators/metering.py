@@ -199,8 +199,8 @@ def merge_start_complete(df: DataFrame, keys: list[str], kind: str, at: str) ->
 # --- durations and latencies ---------------------------------------------------------
 
 
-def duration_evidence(direct: Column, start: Column, end: Column, tolerance_ms: int = 1) -> tuple[Column, Column]:
-    """Value and state of a duration from a direct field and a record's own ends."""
+def duration_evidence(direct: Column, start: Column, end: Column, tolerance_ms: Column | int = 1) -> tuple[Column, Column]:
+    """Value and state of a duration from a direct field and a record's own ends, compared as finely as the ends are written."""
     span = end - start
     state = (
         F.when(direct < 0, "conflict").when(span < 0, "conflict").when(direct.isNotNull() & (F.abs(span - direct) > tolerance_ms), "conflict")

@@ -220,6 +220,17 @@ class MaskParser:
     def __init__(self, spans: dict[str, tuple[int, int]]):
         self.spans = spans
 
+    @property
+    def unit(self) -> int:
+        """Microseconds of the finest part that the mask writes, 1 at least."""
+        digits = 0 if "f" not in self.spans else self.spans["f"][1] - self.spans["f"][0]
+        if "n" in self.spans:
+            a, b = self.spans["n"]
+            digits += b - a - 10  # ten digits are the seconds of 2026
+        elif "S" not in self.spans:
+            return 60_000_000 if "M" in self.spans else 3_600_000_000 if "H" in self.spans else 86_400_000_000
+        return 10 ** max(0, 6 - digits)
+
     def number(self, codes: np.ndarray, field: str, default: int = 0) -> np.ndarray:
         if field not in self.spans:
             return np.full(len(codes), default, np.int64)
@@ -356,9 +367,9 @@ def folded(value: Column) -> Column:
     return F.translate(F.btrim(value, F.lit(BLANKS)), FOLD_FROM, FOLD_TO)
 
 
-def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zones) -> np.ndarray:
-    """Microseconds of each value, ``NONE`` where it denotes no single instant."""
-    out = np.full(len(values), NONE, np.int64)
+def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
+    """Microseconds of each value, ``NONE`` where it denotes no single instant, and the unit each is written to."""
+    out, units = np.full(len(values), NONE, np.int64), np.ones(len(values), np.int64)
     coded = masks.dictionary_encode()
     codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     order = np.argsort(codes, kind="stable")
@@ -373,20 +384,22 @@ def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zo
         matrix = text.view(np.uint32).reshape(len(rows), len(mask))
         micro, good = parser.parse(matrix, row_zone[rows], zones)
         out[rows[good]] = micro[good]
-    return out
+        units[rows] = parser.unit
+    return out, units
 
 
-def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str], out: str = "utc_us") -> DataFrame:
+def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str], out: str = "utc_us", unit: str | None = None) -> DataFrame:
     """One row for each row of ``df`` whose ``value`` denotes exactly one instant.
 
     Returns the ``keep`` columns and ``out`` (long, microseconds since 1970 in
     UTC, finer digits dropped).  ``zone`` names the column with the zone beside
-    the value, or is ``None``.  Nulls, empty texts, words, times that do not
+    the value, or is ``None``.  ``unit`` adds a column of that name: the
+    microseconds of the finest part that the value writes.  Nulls, empty texts, words, times that do not
     exist, local times shown twice or never and values without any zone give no
     row; repeated rows give repeated results.  Any other column of ``df`` is
     left out before the data leaves the JVM.
     """
-    v, z, m = fresh_name(keep + [out], "value"), fresh_name(keep + [out], "zone"), fresh_name(keep + [out], "mask")
+    v, z, m = (fresh_name([*keep, out, *([unit] if unit else [])], n) for n in ("value", "zone", "mask"))
     text = folded(F.col(value).cast("string"))
     source = df.where(F.col(value).isNotNull()).select(
         *[F.col(k) for k in keep], text.alias(v), (F.col(zone).cast("string") if zone else F.lit(None).cast("string")).alias(z)
@@ -394,7 +407,7 @@ def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str]
     # A value without a digit is no time; it never leaves the JVM.
     source = source.where(F.col(v).rlike("[0-9]")).withColumn(m, shape_mask(F.col(v)))
     kept = [source.schema[k] for k in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` bigint" + (f", `{unit}` bigint" if unit else "")
     sent = source.sparkSession.sparkContext.broadcast(all_zones())  # about 600 zones, under 4 MB
 
     def convert(batches):
@@ -414,10 +427,12 @@ def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str]
         named = table.column(z).combine_chunks().dictionary_encode()
         ids = np.array([zones.resolve(t) for t in named.dictionary.to_pylist()] + [NO_ZONE], np.int64)
         row_zone = ids[named.indices.fill_null(len(ids) - 1).to_numpy(zero_copy_only=False)]
-        micro = instants(table.column(v).to_pylist(), table.column(m).combine_chunks(), row_zone, zones)
+        micro, units = instants(table.column(v).to_pylist(), table.column(m).combine_chunks(), row_zone, zones)
         good = pa.array(micro != NONE)
-        result = table.select(keep).append_column(out, pa.array(micro)).filter(good)
-        yield from result.to_batches()
+        result = table.select(keep).append_column(out, pa.array(micro))
+        if unit:
+            result = result.append_column(unit, pa.array(units))
+        yield from result.filter(good).to_batches()
 
     return source.mapInArrow(convert, schema)
 

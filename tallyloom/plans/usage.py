@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import cells, metering, relations
+from tallyloom.operators import cells, metering, relations, timestamps
 from tallyloom.session import read_table
 
 MAPPING = {"input": "inputTokens", "output": "outputTokens", "cache_read": "cacheReadTokens"}
@@ -17,10 +17,21 @@ SINCE, UPTO = 1_772_323_200_000, 1_788_220_800_000  # 2026-03-01 to 2026-09-01 U
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage records with their cells; only the columns that the queries read reach the scan."""
     usage = read_table(spark, sf_dir, "model_usage").withColumn("grp", metering.classify_source(F.col("query_source")))
-    usage = usage.withColumn("started_ms", F.when(F.col("started_at").rlike("^[0-9]{13}$"), F.expr("try_cast(started_at as bigint)")))
     return cells.usage_cells(usage, "raw_usage_json", MAPPING, "totalTokens", F.col("provider_id").isin(*VERIFIED))
 
 
+def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``records`` with ``started_ms``; null only where started_at denotes no single instant.
+
+    Every spelling that p1 reads counts: finer digits than milliseconds are
+    dropped, parts not written are zero, and ``started_unit_ms`` is the unit of
+    the finest part written, 1 at least.
+    """
+    times = timestamps.normalise_times(read_table(spark, sf_dir, "model_usage"), "started_at", "recorded_tz", ["row_id"], "us", "unit")
+    times = times.select("row_id", F.expr("us div 1000").alias("started_ms"), F.greatest(F.lit(1), F.expr("unit div 1000")).alias("started_unit_ms"))
+    return records(spark, sf_dir).join(times, "row_id", "left")
+
+
 def usage_cells(spark, sf_dir):
     out = records(spark, sf_dir)
     return out.select("row_id", *[F.col(m)[p].alias(f"{m}_{p}") for m in cells.METRICS for p in ("value", "state", "reason")])
@@ -44,7 +55,7 @@ def usage_internal(spark, sf_dir):
 
 
 def _days(spark, sf_dir):
-    out = records(spark, sf_dir).withColumn("disposition", metering.disposition(F.col("completed_at"), SINCE, UPTO))
+    out = timed_records(spark, sf_dir).withColumn("disposition", metering.disposition(F.col("completed_at"), SINCE, UPTO))
     out = metering.bucketing(out.where("disposition = 'in_range'"), "completed_at", "started_ms", ZONE, SINCE)
     return out.withColumn("day", F.col("day").cast("string"))
 
@@ -141,8 +152,8 @@ def turn_wall(spark, sf_dir):
 
 def duration_groups(spark, sf_dir):
     """Durations by source: direct field against the record's own ends."""
-    value, state = metering.duration_evidence(F.col("duration_ms"), F.col("started_ms"), F.col("completed_at"))
-    out = records(spark, sf_dir).select("grp", value.alias("v"), state.alias("s")).groupBy("grp").agg(
+    value, state = metering.duration_evidence(F.col("duration_ms"), F.col("started_ms"), F.col("completed_at"), F.col("started_unit_ms"))
+    out = timed_records(spark, sf_dir).select("grp", value.alias("v"), state.alias("s")).groupBy("grp").agg(
         F.count("*").alias("records"), F.count(F.when(F.col("s") == "known", 1)).alias("valid"), F.count(F.when(F.col("s") == "conflict", 1)).alias("conflict"),
         F.count(F.when(F.col("s") == "unknown", 1)).alias("missing"), F.sum("v").alias("total_ms"),
     )
@@ -153,7 +164,7 @@ def duration_groups(spark, sf_dir):
 
 
 def _latency(spark, sf_dir):
-    out = records(spark, sf_dir)
+    out = timed_records(spark, sf_dir)
     return out.withColumn("why", metering.latency_outcome(F.col("started_ms"), F.col("first_token_at"), F.col("tool_call_count"), F.col("time_to_first_token_ms"), SINCE, UPTO))
 
 
