@@ -36,8 +36,6 @@ RATIO = 12
 #: ... or, if it holds a sign that no word holds among letters, just as frequent.
 #: Windows of characters need less, as many windows must agree.
 WINDOW_RATIO = 2
-#: Characters that are weighed for each window.
-MEANT = 10
 #: A right form stands at least this often in the corpus.
 LEAST = 3
 #: Lines at either edge of a page that can be furniture.
@@ -407,11 +405,11 @@ def misread_characters(lines: DataFrame) -> DataFrame:
     ch = F.when(F.col("at") == 0, F.expr("right(word, 1)")).otherwise(ch)
     mask = F.when(F.col("at") == 0, F.expr("left(word, length(word) - 1)")).when(F.col("at") == 1, F.concat(F.substring("word", 1, 1), F.lit("_"), F.expr("right(word, 1)"))).otherwise(F.expr("right(word, length(word) - 1)"))
     masked = counts.withColumn("ch", ch).withColumn("mask", mask)
-    # The most frequent characters of each window stand for what could be meant.
-    place = W.partitionBy("at", "mask").orderBy(F.desc("n"), "ch")
-    top = masked.where("n >= 2").withColumn("k", F.row_number().over(place)).where(F.col("k") <= MEANT).select("at", "mask", F.col("ch").alias("right"), F.col("n").alias("right_n"))
-    cand = masked.join(top, ["at", "mask"]).where((F.col("ch") != F.col("right")) & (F.col("right_n") >= WINDOW_RATIO * F.col("n")))
-    uses = masked.groupBy("ch").agg(F.sum("n").alias("windows"), F.sum(F.when(F.col("at") == 1, F.col("n"))).alias("uses"))
+    uses = _kept(masked.groupBy("ch").agg(F.sum("n").alias("windows"), F.sum(F.when(F.col("at") == 1, F.col("n"))).alias("uses")), "uses", scrap)
+    # Every frequent character of a window stands for what could be meant; of the rare ones only those that RATIO lets pass beside some character.
+    seldom = uses.crossJoin(F.broadcast(uses.agg(F.max("uses").alias("most")))).where(F.col("most") >= RATIO * F.col("uses")).select("ch")
+    meant = masked.where("n >= 2").select("at", "mask", F.col("ch").alias("right"), F.col("n").alias("right_n"))
+    cand = masked.join(seldom, "ch", "left_semi").join(meant, ["at", "mask"]).where((F.col("ch") != F.col("right")) & (F.col("right_n") >= WINDOW_RATIO * F.col("n")))
     # For each character the one that makes its windows likeliest; at most one row for each character that exists.
     gain = F.sum(F.col("n") * F.log(F.col("right_n") * 10 + 1))
     pairs = cand.groupBy("ch", "right").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") == 1, F.col("n")).otherwise(0)).alias("middle"), gain.alias("gain"))

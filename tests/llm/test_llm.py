@@ -66,6 +66,15 @@ def test_repairs_of_nothing(spark):
     assert scanned.repairs(spark.createDataFrame([("a", "m", 1, "x" * 200_000), ("b", None, None, "word")], schema)).count() == 0
 
 
+def test_every_character_of_a_window_can_be_meant(spark):
+    """果 is only the twelfth of the characters between 前 and 后, and still what 杲 was read for."""
+    fillers = "天地山水火木金石田土风"
+    texts = ["前杲后"] * 2 + ["前果后"] * 30 + [f"{a}{c}{b}" for c in fillers for a, b in ("前后", "左右") for _ in range(40)]
+    rows = [(f"z{k}", 0, t) for k, t in enumerate(texts)]
+    found = scanned.misread_characters(spark.createDataFrame(rows, "image_id string, line_no int, zh string"))
+    assert {(r.image_id, r.at, r.ch, r.right) for r in found.collect()} == {("z0", 1, "杲", "果"), ("z1", 1, "杲", "果")}
+
+
 def test_variants_join_by_value(spark):
     rare = spark.createDataFrame([("cheek", 1), ("modern", 2), ("ehekc", 1)], "word string, n long")
     often = spark.createDataFrame([("check", 90), ("modem", 50), ("keche", 70)], "word string, n long")
