@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.operators import compare, textfacts
+from tallyloom.operators import compare, glossary, textfacts
+from tallyloom.plans.fixtures import LIBRARY
 from tallyloom.session import read_table
 
 
@@ -60,6 +61,11 @@ def term_counts(spark, sf_dir):
     return textfacts.term_counts(_docs(spark, sf_dir), "doc_id", "text", terms)
 
 
+def texts_glossary(spark, sf_dir):
+    """The library's terms that stand in each document; the library is a parameter."""
+    return glossary.select_terms(spark.createDataFrame(LIBRARY, "english string, target string, priority int"), _docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def equal_texts(spark, sf_dir):
     """Groups of documents with equal texts, by digest."""
     rows = _docs(spark, sf_dir).where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
@@ -129,7 +135,7 @@ def usage_json_changes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        block_counts, code_fences, headings, section_sizes, table_cells, line_offsets, number_tokens, message_templates, term_counts, equal_texts, packed_lines, page_kinds, page_defects,
+        block_counts, code_fences, headings, section_sizes, table_cells, line_offsets, number_tokens, message_templates, term_counts, texts_glossary, equal_texts, packed_lines, page_kinds, page_defects,
         line_differences, line_multisets, heading_differences, usage_json_changes,
     )
 }
@@ -147,6 +153,7 @@ _PAIRS = "pr AS (SELECT d.doc_id, f.first_doc FROM documents d JOIN (SELECT orig
 _FENCES = "SELECT doc_id, count(*) // 2 AS n FROM l WHERE f GROUP BY 1"
 
 ORACLES = {
+    "texts_glossary": "WITH l AS (SELECT unnest([" + ", ".join(f"{{'english': '{e}', 'target': '{t}', 'priority': {p}}}" for e, t, p in LIBRARY) + "]) AS r), b AS (SELECT lower(r.english) AS key, arg_min(r.target, r.priority) AS target FROM l GROUP BY 1) SELECT DISTINCT doc_id, key, target FROM documents JOIN b ON regexp_matches(lower(text), '(^|[^a-z0-9])' || key || '([^a-z0-9]|$)')",
     "block_counts": _LINES + f""", c AS (SELECT doc_id, count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'table') AS "table", count(*) FILTER (kind = 'item') AS item, count(*) FILTER (kind = 'paragraph') AS paragraph, CAST(sum(CASE WHEN kind IN ('table', 'rule', 'blank') THEN 0 ELSE len(regexp_extract_all(line, '`[^`]+`')) END) AS BIGINT) AS code FROM p GROUP BY 1)
       SELECT c.doc_id, heading, coalesce(n, 0) AS fence, "table", item, paragraph, code FROM c LEFT JOIN ({_FENCES}) x ON x.doc_id = c.doc_id WHERE heading + "table" + item + paragraph + code + coalesce(n, 0) > 0""",
     "code_fences": _LINES + ", b AS (SELECT doc_id, before, string_agg(line, chr(10) ORDER BY line_no) AS value, count(*) AS lines FROM l WHERE NOT f AND before % 2 = 1 GROUP BY 1, 2), s AS (SELECT doc_id, before + 1 AS before, line_no FROM l WHERE f AND before % 2 = 0) SELECT s.doc_id, s.line_no, coalesce(lines, 0) AS lines, coalesce(value, '') AS value, sha256(coalesce(value, '')) AS digest FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.before = s.before",

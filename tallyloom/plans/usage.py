@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import cells, metering, relations, timestamps
+from tallyloom.operators import cells, graphs, metering, relations, timestamps
 from tallyloom.session import read_table
 
 MAPPING = {"input": "inputTokens", "output": "outputTokens", "cache_read": "cacheReadTokens"}
@@ -247,6 +247,14 @@ def family_closure(spark, sf_dir):
     return relations.family(_all_links(spark, sf_dir))
 
 
+def session_groups(spark, sf_dir):
+    """Sessions that links to existing parents connect, whatever the task type."""
+    links = _all_links(spark, sf_dir)
+    ids = links.select(F.col("id").alias("node")).where("node is not null").distinct()
+    edges = links.join(ids, F.col("parent") == F.col("node"), "left_semi").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    return graphs.components(edges, ids)
+
+
 def inherited_copies(spark, sf_dir):
     usage = read_table(spark, sf_dir, "model_usage").select(F.col("row_id").alias("record_id"), "session_id", F.col("model_id").alias("call_id"))
     return relations.inherited_copies(usage, _all_links(spark, sf_dir))
@@ -264,7 +272,7 @@ QUERIES = {
     for f in (
         usage_cells, usage_by_group, usage_by_status, usage_views, usage_internal, usage_daily, usage_daily_sessions, usage_day_models, usage_unbucketed, usage_dispositions, usage_partition,
         usage_reconciled, usage_rankings, usage_export, session_index, session_status, turn_spans, turn_wall, duration_groups, latency_outcomes, latency_by_model, throughput_outcomes,
-        throughput_by_day, context_fill, context_reset, counter_differences, reply_epochs, without_direct, start_complete, owner_walk, family_closure, inherited_copies, time_presets,
+        throughput_by_day, context_fill, context_reset, counter_differences, reply_epochs, without_direct, start_complete, owner_walk, family_closure, session_groups, inherited_copies, time_presets,
     )
 }
 
@@ -344,6 +352,11 @@ _SESSIONS_SQL = _DAYS + "SELECT day, count(DISTINCT session_id) AS sessions, cou
 _DISP_SQL = f"SELECT {_DISP} AS disposition, count(*) AS n FROM model_usage GROUP BY 1"
 
 ORACLES = {
+    "session_groups": """WITH RECURSIVE n AS (SELECT id, min(parent_id) AS p FROM agent_session WHERE id IS NOT NULL GROUP BY id), e AS (SELECT n.id, k.id AS p FROM n LEFT JOIN n k ON k.id = n.p),
+      up AS (SELECT id, p AS anc FROM e WHERE p IS NOT NULL UNION SELECT up.id, e.p FROM up JOIN e ON e.id = up.anc WHERE e.p IS NOT NULL),
+      top AS (SELECT id, id AS t FROM e WHERE p IS NULL UNION ALL SELECT up.id, up.anc FROM up JOIN e ON e.id = up.anc WHERE e.p IS NULL
+        UNION ALL SELECT id, min(anc) FROM up WHERE anc IN (SELECT id FROM up WHERE id = anc) GROUP BY id)
+      SELECT id AS node, min(id) OVER (PARTITION BY t) AS grp FROM top""",
     "usage_cells": _RECORDS + "SELECT row_id, " + ", ".join(f"{v} AS {n}_value, {s} AS {n}_state, {w} AS {n}_reason" for v, s, w, n in _NAMES) + " FROM k",
     "usage_by_group": _GROUP_SQL,
     "usage_by_status": _RECORDS + _agg("status, grp", calls="retry_count"),
