@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import delivery, hierarchy, intervals, references, timestamps
+from tallyloom.plans import times_sql
 from tallyloom.session import read_table
 
 MESSAGE = ("session_id", "logical_request_id", "attempt_index", "row_id")
@@ -112,6 +113,7 @@ WITH m AS (SELECT row_id, session_id AS s, attempt_index AS a, lower(trim(logica
 """
 
 ORACLES = {
+    "p1_found": times_sql.P1,
     "p2_found": _P2,
     "p2_by_month": f"SELECT ref_table, ref_field, state, ref_month, count(*) AS n FROM ({_P2}) GROUP BY ALL",
     "p3_found": _P3_FOUND,

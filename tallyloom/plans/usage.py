@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cells, graphs, metering, relations, timestamps
+from tallyloom.plans import times_sql
 from tallyloom.session import read_table
 
 MAPPING = {"input": "inputTokens", "output": "outputTokens", "cache_read": "cacheReadTokens"}
@@ -287,12 +288,20 @@ def _s(key: str) -> str:
     return f"""CASE WHEN u IS NULL OR json_type(u, '$.{key}') IS NULL OR json_type(u, '$.{key}') = 'NULL' THEN 'unknown' WHEN json_type(u, '$.{key}') IN ('UBIGINT', 'BIGINT') AND CAST(u->>'$.{key}' AS BIGINT) >= 0 THEN 'reported' ELSE 'conflict' END"""
 
 
-_RECORDS = f"""
-WITH raw AS (
-  SELECT *, CASE WHEN query_source = 'main_turn' THEN 'main' WHEN query_source IN ('subagent', 'workflow_child') THEN 'child'
+def _records(timed: bool) -> str:
+    """CTEs up to ``k``, a record with its cells in each row; ``timed`` adds the start in whatever spelling."""
+    if not timed:
+        return "WITH " + _CELLS.format(columns="*", source="model_usage")
+    given = "SELECT 'model_usage' AS src, row_id, started_at AS v, recorded_tz AS z FROM model_usage"
+    return f"WITH {times_sql.instants(given)}, " + _CELLS.format(
+        columns="m.*, utc_us // 1000 AS started_ms, greatest(1, unit_us // 1000) AS started_unit_ms", source="model_usage m LEFT JOIN instant ON instant.row_id = m.row_id"
+    )
+
+
+_CELLS = f"""raw AS (
+  SELECT {{columns}}, CASE WHEN query_source = 'main_turn' THEN 'main' WHEN query_source IN ('subagent', 'workflow_child') THEN 'child'
     WHEN query_source IN ('compact', 'session_title', 'web_fetch_processing', 'web_search_tool') THEN 'internal' ELSE 'unknown' END AS grp,
-    CASE WHEN regexp_full_match(started_at, '[0-9]{{13}}') THEN CAST(started_at AS BIGINT) END AS started_ms,
-    CASE WHEN json_valid(raw_usage_json) THEN CAST(raw_usage_json AS JSON) END AS u FROM model_usage),
+    CASE WHEN json_valid(raw_usage_json) THEN CAST(raw_usage_json AS JSON) END AS u FROM {{source}}),
 c1 AS (SELECT *, {_j('inputTokens')} AS iv, {_s('inputTokens')} AS ist, {_j('outputTokens')} AS ov, {_s('outputTokens')} AS ost, {_j('cacheReadTokens')} AS cv0, {_s('cacheReadTokens')} AS cst0,
   json_type(u, '$.totalTokens') IS NOT NULL AS has_total, {_j('totalTokens')} AS tv0, coalesce(provider_id IN ('builtin:nimbus-plan', 'tern-cloud'), false) AS ok FROM raw),
 c2 AS (SELECT *, iv IS NOT NULL AND cv0 IS NOT NULL AND cv0 > iv AS over_, iv IS NOT NULL AND ov IS NOT NULL AS both_ FROM c1),
@@ -310,6 +319,7 @@ r AS (SELECT * EXCLUDE (iw, ow, cw, nw, tw, ist, ost, cst, nst, tst),
 k AS (SELECT *, ist IN ('reported', 'derived') AND iv IS NOT NULL AS ik, ost IN ('reported', 'derived') AND ov IS NOT NULL AS ok_, cst IN ('reported', 'derived') AND cv IS NOT NULL AS ck,
   nst IN ('reported', 'derived') AND nv IS NOT NULL AS nk, tst IN ('reported', 'derived') AND tv IS NOT NULL AS tk FROM r)
 """
+_RECORDS, _TIMED = _records(False), _records(True)
 _SHORT = {"input": ("iv", "ik", "iw"), "output": ("ov", "ok_", "ow"), "cache_read": ("cv", "ck", "cw"), "non_cache_read": ("nv", "nk", "nw"), "total": ("tv", "tk", "tw")}
 
 
@@ -331,7 +341,7 @@ FROM {source} GROUP BY ALL"""
 
 
 _DISP = f"CASE WHEN completed_at IS NULL THEN 'no_time' WHEN completed_at = {UPTO} THEN 'at_cutoff' WHEN completed_at > {UPTO} THEN 'after' WHEN completed_at < {SINCE} THEN 'before' ELSE 'in_range' END"
-_DAYS = _RECORDS + f""", d0 AS (SELECT *, CAST(make_timestamp((completed_at + 28800000) * 1000) AS DATE) AS d FROM k WHERE completed_at >= {SINCE} AND completed_at < {UPTO}),
+_DAYS = _TIMED + f""", d0 AS (SELECT *, CAST(make_timestamp((completed_at + 28800000) * 1000) AS DATE) AS d FROM k WHERE completed_at >= {SINCE} AND completed_at < {UPTO}),
 dd AS (SELECT *, CASE WHEN started_ms < greatest(epoch_ms(CAST(d AS TIMESTAMP)) - 28800000, {SINCE}) THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS day FROM d0)
 """
 _LAT = f"""CASE WHEN started_ms IS NULL OR first_token_at IS NULL THEN 'missing: start or first token' WHEN tool_call_count IS NULL THEN 'missing: tool call count' WHEN tool_call_count > 0 THEN 'unsupported: tool arguments'
@@ -344,7 +354,7 @@ _LINKS = """
 WITH RECURSIVE n AS (SELECT id, min(parent_id) AS p FROM agent_session WHERE id IS NOT NULL GROUP BY id), e AS (SELECT n.id, k.id AS p FROM n LEFT JOIN n k ON k.id = n.p),
 down AS (SELECT id, id AS root_id, 0 AS hops FROM e WHERE p IS NULL UNION ALL SELECT e.id, root_id, hops + 1 FROM down JOIN e ON e.p = down.id)
 """
-_DUR = "CASE WHEN duration_ms < 0 THEN 'conflict' WHEN completed_at < started_ms THEN 'conflict' WHEN abs(completed_at - started_ms - duration_ms) > 1 THEN 'conflict' WHEN duration_ms IS NOT NULL OR completed_at - started_ms IS NOT NULL THEN 'known' ELSE 'unknown' END"
+_DUR = "CASE WHEN duration_ms < 0 THEN 'conflict' WHEN completed_at < started_ms THEN 'conflict' WHEN abs(completed_at - started_ms - duration_ms) > started_unit_ms THEN 'conflict' WHEN duration_ms IS NOT NULL OR completed_at - started_ms IS NOT NULL THEN 'known' ELSE 'unknown' END"
 _NAMES = [("iv", "ist", "iw", "input"), ("ov", "ost", "ow", "output"), ("cv", "cst", "cw", "cache_read"), ("nv", "nst", "nw", "non_cache_read"), ("tv", "tst", "tw", "total")]
 _VIEW = lambda d, i: _agg(f"'{d}' AS dimension, {i} AS identity")
 _GROUP_SQL = _RECORDS + _agg("grp")
@@ -388,10 +398,10 @@ ORACLES = {
       CASE WHEN completed_at IS NOT NULL THEN CASE WHEN completed_at < {UPTO} THEN 'ended_before_cutoff' ELSE 'ended_after_cutoff' END WHEN started_at < {UPTO} THEN 'not_confirmed_ended_at_cutoff' ELSE 'unknown_at_cutoff' END AS cutoff FROM turn_usage""",
     "turn_wall": f"""WITH g AS (SELECT session_id, count(*) AS members, count(*) FILTER (completed_at < started_at) AS reversed, count(*) FILTER (started_at IS NULL OR completed_at IS NULL) AS missing, count(*) FILTER (completed_at >= {UPTO}) AS late, min(started_at) AS a, max(completed_at) AS b FROM turn_usage WHERE session_id IS NOT NULL GROUP BY 1),
       h AS (SELECT *, CASE WHEN reversed > 0 THEN 'conflict' WHEN missing > 0 OR late > 0 THEN 'unknown' ELSE 'known' END AS state FROM g) SELECT session_id, members, reversed, missing, late, state, CASE WHEN state = 'known' THEN b - a END AS wall_ms FROM h""",
-    "duration_groups": _RECORDS + f"""SELECT grp, count(*) AS records, count(*) FILTER (s = 'known') AS valid, count(*) FILTER (s = 'conflict') AS conflict, count(*) FILTER (s = 'unknown') AS missing, CAST(sum(CASE WHEN s = 'known' THEN coalesce(duration_ms, completed_at - started_ms) END) AS BIGINT) AS total_ms,
+    "duration_groups": _TIMED + f"""SELECT grp, count(*) AS records, count(*) FILTER (s = 'known') AS valid, count(*) FILTER (s = 'conflict') AS conflict, count(*) FILTER (s = 'unknown') AS missing, CAST(sum(CASE WHEN s = 'known' THEN coalesce(duration_ms, completed_at - started_ms) END) AS BIGINT) AS total_ms,
       CASE WHEN count(*) FILTER (s = 'known') = count(*) THEN 'complete' WHEN count(*) FILTER (s = 'known') > 0 THEN 'known_subset' ELSE 'unknown' END AS state FROM (SELECT *, {_DUR} AS s FROM k) GROUP BY 1""",
-    "latency_outcomes": _RECORDS + f"SELECT coalesce({_LAT}, 'sample') AS outcome, count(*) AS n FROM k GROUP BY 1",
-    "latency_by_model": _RECORDS + f"SELECT model_id, count(*) AS samples, CAST(sum(first_token_at - started_ms) AS BIGINT) AS total_ms, sum(first_token_at - started_ms) / count(*) AS mean_ms FROM k WHERE ({_LAT}) IS NULL GROUP BY 1",
+    "latency_outcomes": _TIMED + f"SELECT coalesce({_LAT}, 'sample') AS outcome, count(*) AS n FROM k GROUP BY 1",
+    "latency_by_model": _TIMED + f"SELECT model_id, count(*) AS samples, CAST(sum(first_token_at - started_ms) AS BIGINT) AS total_ms, sum(first_token_at - started_ms) / count(*) AS mean_ms FROM k WHERE ({_LAT}) IS NULL GROUP BY 1",
     "throughput_outcomes": _RECORDS + f"SELECT coalesce({_THR}, 'sample') AS outcome, count(*) AS n FROM k GROUP BY 1",
     "throughput_by_day": _RECORDS + f"SELECT strftime(make_timestamp((completed_at + 28800000) * 1000), '%Y-%m-%d') AS day, count(*) AS samples, CAST(sum(ov) AS BIGINT) AS output, CAST(sum(completed_at - first_token_at) AS BIGINT) AS interval_ms, sum(ov) * 1000 / sum(completed_at - first_token_at) AS per_second FROM k WHERE ({_THR}) IS NULL GROUP BY 1",
     "context_fill": "SELECT row_id, last_value(provider_id IGNORE NULLS) OVER w AS ctx_provider_id, last_value(query_source IGNORE NULLS) OVER w AS ctx_query_source FROM model_usage WHERE turn_id IS NOT NULL WINDOW w AS (PARTITION BY session_id, turn_id ORDER BY row_id ROWS UNBOUNDED PRECEDING)",
