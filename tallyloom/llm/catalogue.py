@@ -46,8 +46,13 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "subject_area").select("area").join(sums, "area", "left").fillna(0, ["documents", "characters"])
 
 
+def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the corpus the model of p9 leaves out for being too rare."""
+    return subjects.vocabulary(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p5_found, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition, p9_terms)}
 
 
 def oracle_sql() -> dict[str, str]:
