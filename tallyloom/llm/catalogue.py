@@ -13,6 +13,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.repairs(read_table(spark, sf_dir, "image_item"))
 
 
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The continuous text of every scanned work."""
+    return scanned.paragraphs(read_table(spark, sf_dir, "image_item"))
+
+
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, cluster (equal for copies of one text) and n_tokens of all documents."""
     docs = read_table(spark, sf_dir, "documents").withColumn("cluster", F.xxhash64("text"))
@@ -52,7 +57,7 @@ def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition, p9_terms)}
+    return {f.__name__: f for f in (p5_found, p5_text, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition, p9_terms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,15 +39,15 @@ RATIO = 12
 WINDOW_RATIO = 2
 #: A right form stands at least this often in the corpus.
 LEAST = 3
-#: Lines at either edge of a page that can be furniture.
-EDGE_LINES = 3
+#: Lines behind a page's edge that are looked at besides.
+LOOK_AHEAD = 2
 #: Misread words up to this number are sent to all tasks, more are joined by shuffle.
 BROADCAST_WORDS = 200_000
 #: Pages between two entries of the look-up of the next page.
 PAGE_BLOCK = 1024
 
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
-_NUM = r"(?P<n>\d{1,5}|[ivxlcdm]{1,9})"
+_NUM = r"(?P<n>\d{1,9}|[ivxlcdm]{1,15})"
 _FORMS = [
     re.compile(x)
     for x in (
@@ -102,8 +103,21 @@ def edge_parts(line: str) -> tuple[int | None, bool, str]:
 _CLOSED = re.compile(r"[.?!。？！]$")
 #: A line that is no sentence and no part of one.
 _SHORT = re.compile(r"[^.,;:!?。，；：！？]{1,60}")
+#: What is misread for what, folded together in a line's key.
 _KEY_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u")]
-_KEY_CHARS = str.maketrans("0159+6cfl|h", "olsgtbeeiib".replace("l", "i"))
+_KEY_CHARS = str.maketrans({
+    "0": "o",
+    "1": "i",
+    "5": "s",
+    "9": "g",
+    "+": "t",
+    "6": "b",
+    "c": "e",
+    "f": "e",
+    "l": "i",
+    "|": "i",
+    "h": "b",
+})
 
 
 def text_key(text: str) -> str:
@@ -148,6 +162,24 @@ def _kept(df: DataFrame, label: str, scrap: list[Written] | None) -> DataFrame:
 _EDGE_SCHEMA = "media_id string, image_id string, page long, line_no int, edge string, rank int, number long, marked boolean, key string, title boolean, caps boolean, next_title boolean, alone boolean, closed boolean"
 
 
+def _edge(lines: list[str], order: list[int], width: int):
+    """The lines from a page's edge on that can be furniture, some more lines behind them, and their parts.
+
+    Lines can be furniture as long as page numbers, titles and short lines
+    without signs stand between them and the edge.
+    """
+    parts, titles, open_ = [], [], LOOK_AHEAD
+    for i in order:
+        part = edge_parts(lines[i])
+        parts.append(part)
+        titles.append(looks_like_title(part[2], width))
+        if part[2] and not titles[-1] and not _SHORT.fullmatch(part[2]) or open_ < LOOK_AHEAD:
+            open_ -= 1
+        if not open_:
+            break
+    return order[: len(parts)], parts, titles
+
+
 def _edges(batches):
     for batch in batches:
         rows = []
@@ -155,9 +187,8 @@ def _edges(batches):
             lines = text.split("\n")
             full = [i for i, line in enumerate(lines) if line.strip()]
             width = max((len(lines[i].strip()) for i in full), default=0)
-            for edge, order in (("top", full[:EDGE_LINES]), ("end", full[::-1][:EDGE_LINES])):
-                parts = [edge_parts(lines[i]) for i in order]
-                titles = [looks_like_title(p[2], width) for p in parts]
+            for edge, order in (("top", full), ("end", full[::-1])):
+                order, parts, titles = _edge(lines, order, width)
                 for rank, i in enumerate(order):
                     number, marked, rest = parts[rank]
                     # What follows a title, page numbers left out.
@@ -207,7 +238,7 @@ def furniture(pages: DataFrame, scrap: list[Written] | None = None) -> DataFrame
     caps = tops.groupBy("media_id").agg(F.avg(F.col("caps").cast("double")).alias("caps_share"))
     known = titles.where("n > 1").select("media_id", "key", F.lit(True).alias("repeated"))
     # Footers: the same text at the end of several pages of the work, or of most works that hold it.
-    ends = edges.where("edge = 'end' and alone and key <> '' and rank < 2 and not closed").groupBy("media_id", "key").agg(F.countDistinct("page").alias("n"))
+    ends = edges.where("edge = 'end' and alone and key <> '' and not closed").groupBy("media_id", "key").agg(F.countDistinct("page").alias("n"))
     everywhere = ends.groupBy("key").agg(F.sum("n").alias("pages"), F.count("*").alias("works")).where("pages >= 2 * works and works > 2").select("key", F.lit(True).alias("foot_anywhere"))
     feet = ends.join(first, "media_id").where("n > 1 and n >= 0.3 * n_pages").select("media_id", "key", F.lit(True).alias("foot"))
 
@@ -226,13 +257,13 @@ def furniture(pages: DataFrame, scrap: list[Written] | None = None) -> DataFrame
         .otherwise(per_chapter & (F.col("page") % 2 == 0))
     )
     header = on_top & F.when(F.col("page") == F.col("first_page"), F.when(has_caps, F.col("caps")).otherwise(F.col("next_title"))).otherwise(later)
-    footer = (F.col("edge") == "end") & F.col("alone") & (F.col("key") != "") & (F.col("rank") < 2) & ~F.col("closed") & (F.coalesce("foot", F.lit(False)) | F.coalesce("foot_anywhere", F.lit(False)))
+    footer = (F.col("edge") == "end") & F.col("alone") & (F.col("key") != "") & ~F.col("closed") & (F.coalesce("foot", F.lit(False)) | F.coalesce("foot_anywhere", F.lit(False)))
     return judged.where(number | header | footer).select("image_id", "line_no").distinct()
 
 
 # --- running text ------------------------------------------------------------
 
-_BODY_SCHEMA = "media_id string, image_id string, page long, line_no int, line string, next string, head boolean, last boolean, zh string"
+_BODY_SCHEMA = "media_id string, image_id string, page long, line_no int, line string, next string"
 _PUNCT = r"""[\s.,;:!?"'()\[\]{}<>«»“”‘’„。，；：！？、（）《》【】…]+"""
 _STRIP = re.compile(rf"^{_PUNCT}|{_PUNCT}$")
 
@@ -241,34 +272,52 @@ def strip_word(word: str) -> str:
     return _STRIP.sub("", word)
 
 
+def _text_lines(text: str, out) -> list[tuple[int, str]]:
+    """The numbered lines of a page that are neither blank nor furniture, without blanks around them."""
+    gone = set(out or ())
+    return [(i, line.strip()) for i, line in enumerate(text.split("\n"), 1) if line.strip() and i not in gone]
+
+
 def _body(batches):
     """The lines of running text, each with the first word of the next one of its page."""
     for batch in batches:
         rows = []
         for media, image, page, text, out in zip(*(batch.column(c).to_pylist() for c in ("media_id", "image_id", "page", "text", "out"))):
-            gone = set(out or ())
-            lines = [(i, line.strip()) for i, line in enumerate(text.split("\n"), 1) if line.strip() and i not in gone]
-            words = [None if line.isdigit() else line.split()[0] for _, line in lines]
-            for k, (i, line) in enumerate(lines):
-                nxt = next((w for w in words[k + 1 :] if w), None)
-                zh = line if _HAN.search(line) else None
-                rows.append((media, image, page, i, line, nxt, k == 0, nxt is None, zh))
+            lines = _text_lines(text, out)
+            nxt = None
+            for i, line in reversed(lines):
+                rows.append((media, image, page, i, line, nxt))
+                nxt = nxt if line.isdigit() else line.split(None, 1)[0]
         yield from _records(rows, _BODY_SCHEMA)
 
 
-def running_text(pages: DataFrame, out: DataFrame, scrap: list[Written] | None = None) -> DataFrame:
+def marked_pages(pages: DataFrame, out: DataFrame) -> DataFrame:
+    """The pages with the numbers of the lines that are furniture."""
+    listed = out.groupBy("image_id").agg(F.collect_list("line_no").alias("out"))  # the edge lines of one page
+    return pages.join(listed, "image_id", "left").select("media_id", "image_id", "page", "text", "out")
+
+
+def running_text(marked: DataFrame, scrap: list[Written] | None = None) -> DataFrame:
     """The lines that are no furniture; ``next`` is the word that follows a line, on the next page if need be."""
-    listed = out.groupBy("image_id").agg(F.collect_list("line_no").alias("out"))  # at most six lines of a page
-    lines = _kept(pages.join(listed, "image_id", "left").select("media_id", "image_id", "page", "text", "out").mapInArrow(_body, _BODY_SCHEMA), "body", scrap)
+    lines = _kept(marked.mapInArrow(_body, _BODY_SCHEMA), "body", scrap)
     # The first word of each page, by blocks of pages, and of each block.
     word = F.split(F.col("line"), r"\s+")[0]
     heads = lines.where(~F.col("line").rlike(r"^\d+$")).groupBy("media_id", "page").agg(F.min_by(word, "line_no").alias("word"))
-    heads = heads.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
-    in_block = F.lead("word").over(W.partitionBy("media_id", "block").orderBy("page"))
-    blocks = heads.groupBy("media_id", "block").agg(F.min_by("word", "page").alias("word"))
-    after = blocks.select("media_id", "block", F.lead("word").over(W.partitionBy("media_id").orderBy("block")).alias("block_next"))
-    follow = heads.withColumn("page_next", in_block).join(after, ["media_id", "block"]).select("media_id", "page", F.coalesce("page_next", "block_next").alias("page_next"))
-    return lines.join(follow, ["media_id", "page"], "left").withColumn("next", F.coalesce("next", "page_next")).drop("page_next")
+    follow = over_pages(heads, F.lead, "word", F.min_by("word", "page"))
+    return lines.join(follow, ["media_id", "page"], "left").withColumn("next", F.coalesce("next", "found")).drop("found")
+
+
+def over_pages(rows: DataFrame, step, value: str, of_block) -> DataFrame:
+    """``found``: ``value`` of the page after (``F.lead``) or before (``F.lag``) each one of its work.
+
+    A work is looked through in blocks of pages, so one of any length spreads;
+    ``of_block`` picks the value that a block shows to its neighbour.
+    """
+    blocked = rows.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    inside = blocked.withColumn("near", step(value).over(W.partitionBy("media_id", "block").orderBy("page")))
+    blocks = blocked.groupBy("media_id", "block").agg(of_block.alias("shown"))
+    across = blocks.select("media_id", "block", step("shown").over(W.partitionBy("media_id").orderBy("block")).alias("far"))
+    return inside.join(across, ["media_id", "block"]).select("media_id", "page", F.coalesce("near", "far").alias("found"))
 
 
 def _stripped(c: Column) -> Column:
@@ -276,10 +325,16 @@ def _stripped(c: Column) -> Column:
 
 
 def word_tokens(lines: DataFrame) -> DataFrame:
-    """The words of each line: the line's columns, at, last_word, token (stripped) and raw."""
+    """The words of each line but a broken last one: image_id, line_no, at and token (stripped)."""
     parts = F.split(F.col("line"), r"\s+")
-    out = lines.withColumn("n_words", F.size(parts)).select("media_id", "image_id", "page", "line_no", "next", "n_words", F.posexplode(parts).alias("at", "raw"))
-    return out.withColumn("token", _stripped(F.col("raw")))
+    whole = F.when(_is_broken(), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    out = lines.where("line rlike '[A-Za-z]'").select("image_id", "line_no", F.posexplode(whole).alias("at", "raw"))
+    return out.select("image_id", "line_no", "at", _stripped(F.col("raw")).alias("token"))
+
+
+def _is_broken() -> Column:
+    """Whether the last word of a line is broken and goes on."""
+    return F.col("line").rlike(rf"[A-Za-z0-9+|][{HYPHENS}]$") & F.col("line").rlike("[A-Za-z]") & F.col("next").isNotNull()
 
 
 def anagram_value(c: Column) -> Column:
@@ -297,15 +352,26 @@ def _char_value(ch: Column) -> Column:
     return F.when(ch == "", F.lit(0).cast("long")).otherwise((((x2 * x2) % p) * x) % p)
 
 
-def confusable_variants(rare: DataFrame, frequent: DataFrame, confusions: DataFrame) -> DataFrame:
+def valued(words: DataFrame) -> DataFrame:
+    """Adds ``value``, the anagram value of ``word``."""
+    return words.withColumn("value", anagram_value(F.col("word")))
+
+
+def confusable_variants(rare: DataFrame, frequent: DataFrame, confusions: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """Pairs (word, right) of which a confusion turns ``right`` into ``word``: word, right, n, right_n, wrong, true.
 
-    ``rare`` and ``frequent``: word, n.  ``confusions``: wrong, true; its
-    number of rows must be bounded, as it is sent to all tasks.
+    ``rare`` and ``frequent``: word, n and, if it is stored, value (see
+    ``valued``).  ``confusions``: (wrong, true), a fixed list or a table of a
+    bounded number of rows.  A word meets another one only where their values
+    differ by what a confusion changes.
     """
-    diff = F.broadcast(confusions.select("wrong", "true", (anagram_value(F.col("true")) - anagram_value(F.col("wrong"))).alias("difference")))
-    asked = rare.select("word", "n", anagram_value(F.col("word")).alias("value")).join(diff, F.expr("instr(word, wrong) > 0")).withColumn("value", F.col("value") + F.col("difference"))
-    stored = frequent.select(F.col("word").alias("right"), F.col("n").alias("right_n"), anagram_value(F.col("word")).alias("value"))
+    rare, frequent = (df if "value" in df.columns else valued(df) for df in (rare, frequent))
+    confusions = [tuple(r) for r in confusions.select("wrong", "true").collect()] if isinstance(confusions, DataFrame) else confusions
+    known = [(w, t, _value_of(t) - _value_of(w)) for w, t in confusions]
+    each = F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(t).alias("true"), F.lit(d).cast("long").alias("difference")) for w, t, d in known])
+    held = F.filter(each, lambda x: F.instr(F.col("word"), x["wrong"]) > 0)
+    asked = rare.select("word", "n", "value", F.explode(held).alias("c")).select("word", "n", "c.wrong", "c.true", (F.col("value") + F.col("c.difference")).alias("value"))
+    stored = frequent.select(F.col("word").alias("right"), F.col("n").alias("right_n"), "value")
     pairs = asked.join(stored, "value")
     # The values agree; now at one place the confusion must turn one into the other.
     places = F.sequence(F.lit(1), F.length("word"))
@@ -314,21 +380,27 @@ def confusable_variants(rare: DataFrame, frequent: DataFrame, confusions: DataFr
         lambda k: (F.substring("word", k, F.length("wrong")) == F.col("wrong"))
         & (F.concat(F.substring("word", F.lit(1), k - 1), F.col("true"), F.substring("word", k + F.length("wrong"), F.length("word"))) == F.col("right")),
     )
-    return pairs.where(fits).drop("value", "difference")
+    return pairs.where(fits).drop("value")
 
 
-def misread_words(counts: DataFrame) -> DataFrame:
-    """The misread words of a corpus with their right forms: word, right, wrong, true.
+def _value_of(text: str) -> int:
+    return sum(pow(ord(c), 5, _PRIME) for c in text)
 
-    ``counts``: word (lower case), n.  The most frequent right form counts,
-    then the first in the alphabet.
+
+_STRANGE = "[0-9+|\\x{FB00}-\\x{FB06}]"
+
+
+def misread_words(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """Those of ``words`` that are misread, with their right forms: word, right, wrong, true.
+
+    ``words`` and ``counts``, the words of the corpus: word (lower case), n,
+    value.  The most frequent right form counts, then the last in the
+    alphabet.
     """
-    spark = counts.sparkSession
-    confusions = spark.createDataFrame(CONFUSIONS, "wrong string, true string")
-    latin = counts.where(F.col("word").rlike("[a-z]") & (F.length("word") > 1))
-    plain = latin.where(~F.col("word").rlike("[0-9+|\\x{FB00}-\\x{FB06}]"))
-    pairs = confusable_variants(latin, plain.where(F.col("n") >= LEAST), confusions)
-    strange = F.col("word").rlike("[0-9+|\\x{FB00}-\\x{FB06}]") & ~F.col("word").rlike("^[a-z]{0,2}[0-9]+$|^[0-9]+[a-z]{0,2}$")
+    latin = lambda df: df.where(F.col("word").rlike("[a-z]") & (F.length("word") > 1))
+    plain = latin(counts).where(~F.col("word").rlike(_STRANGE) & (F.col("n") >= LEAST))
+    pairs = confusable_variants(latin(words), plain, CONFUSIONS)
+    strange = F.col("word").rlike(_STRANGE) & ~F.col("word").rlike("^[a-z]{0,2}[0-9]+$|^[0-9]+[a-z]{0,2}$")
     # A single letter with digits, such as v12, is no word; two signs may be misread one after the other.
     kept = pairs.where((F.col("right_n") >= RATIO * F.col("n")) | (strange & (F.col("right_n") >= F.col("n"))))
     kept = kept.where(~F.col("word").rlike("^[a-z]?[0-9]+$") & (F.length("right") > 1))
@@ -340,104 +412,137 @@ def _keep_case(word: Column, right: Column, wrong: Column, true: Column) -> Colu
     """``right`` (lower case) in the case of ``word``."""
     low = F.lower(word)
     k = F.expr("get(filter(sequence(1, length(token)), k -> lower(substring(token, k, length(wrong))) = wrong and concat(lower(substring(token, 1, k - 1)), `true`, lower(substring(token, k + length(wrong)))) = right), 0)")
-    capital = (F.substring(word, 1, 1) != F.substring(low, 1, 1)) | ((k == 1) & F.coalesce(F.col("opens"), F.lit(False)))
+    capital = F.substring(word, 1, 1) != F.substring(low, 1, 1)
     all_caps = (F.upper(word) == word) & (F.length(F.regexp_replace(word, "[^A-Z]", "")) > 1)
     spliced = F.concat(F.substring(word, F.lit(1), k - 1), true, F.substring(word, k + F.length(wrong), F.length(word)))
     return F.when(all_caps, F.upper(right)).when(capital, F.concat(F.upper(F.substring(spliced, 1, 1)), F.substring(spliced, F.lit(2), F.length(spliced)))).otherwise(spliced)
 
 
-_ZH_SCHEMA = "image_id string, line_no int, at int, ch string, a string, b string, c string"
-_ZH_COUNT = "word string, at int, n long"
+_ZH_SCHEMA = "image_id string, line_no int, at int, word long, place int"
+_ZH_COUNT = "word long, place int, n long"
+#: Three characters as one number of 21 bits each; ``place`` says which of them a window is about.
+_BITS, _SIGN = 21, (1 << 21) - 1
+_BMP_SPACE = np.array([chr(k).isspace() for k in range(1 << 16)])
+_BMP_DIGIT = np.array([chr(k).isdigit() for k in range(1 << 16)])
 
 
-def _windows(text_rows):
-    """For each page the Chinese characters with the three windows of three characters they stand in."""
-    for image, lines in text_rows:
-        flat, where = [], []
-        for no, line in lines:
-            for k, ch in enumerate(line):
-                if ch.isspace():
-                    continue
-                ch = "0" if ch.isdigit() else ch
-                if ch == "0" and flat and flat[-1] == "0":
-                    continue
-                flat.append(ch)
-                where.append((no, k))
-        s = "^" + "".join(flat) + "$"
-        for k in range(1, len(s) - 1):
-            if "㐀" <= s[k] <= "鿿":
-                no, at = where[k - 1]
-                yield image, no, at, s[k], s[max(0, k - 2) : k + 1] if k > 1 else None, s[k - 1 : k + 2], s[k : k + 3] if k < len(s) - 2 else None
+def _windows(batch):
+    """Page, line, place in the line, window and role of every window of three characters around each Chinese character.
+
+    Blanks are left out and a run of digits counts as one 0; a page's begin
+    and end are signs of their own.
+    """
+    texts, pages, numbers = [], [], []
+    for k, (first, second) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        lines = sorted(zip(second, first)) if isinstance(first, list) else [(no, line) for no, line in _text_lines(first, second) if _HAN.search(line)]
+        if lines:
+            texts += ["^", *[line for _, line in lines], "$"]
+            pages += [k] * (len(lines) + 2)
+            numbers += [-1, *[no for no, _ in lines], -1]
+    size = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    page, number = np.repeat(pages, size).astype(np.int64), np.repeat(numbers, size).astype(np.int64)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    low = np.minimum(code, (1 << 16) - 1)
+    code = np.where(_BMP_DIGIT[low], 48, code)
+    keep = ~_BMP_SPACE[low]
+    code, page, number, at = code[keep], page[keep], number[keep], at[keep]
+    if len(code):
+        keep = np.append(True, (code[1:] != 48) | (code[:-1] != 48) | (number[:-1] < 0))
+        code, page, number, at = code[keep], page[keep], number[keep], at[keep]
+    han = np.flatnonzero((code >= 0x3400) & (code <= 0x9FFF))
+    for place, first in ((2, han), (1, han - 1), (0, han - 2)):
+        # A window about its first or last character does not reach beyond the page's own signs.
+        ok = np.ones(len(han), bool) if place == 1 else number[han + 1] >= 0 if place == 2 else number[han - 1] >= 0
+        where, begin = han[ok], first[ok]
+        yield page[where], number[where], at[where], code[begin] | code[begin + 1] << _BITS | code[begin + 2] << 2 * _BITS, place
 
 
-def _by_page(batches):
+def _zh_counts(batches):
     for batch in batches:
-        yield [(i, sorted(zip(nos, lines))) for i, nos, lines in zip(*(batch.column(c).to_pylist() for c in ("image_id", "nos", "lines")))]
+        for _, _, _, word, place in _windows(batch):
+            words, n = np.unique(word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), place, np.int32)), pa.array(n.astype(np.int64))], names=["word", "place", "n"])
 
 
-def _zh_counts(batches):
-    from collections import Counter
+def _zh_places(wrong):
+    """The windows about the characters of ``wrong``."""
 
-    counts: Counter = Counter()
-    for pages in _by_page(batches):
-        for _, _, _, _, a, b, c in _windows(pages):
-            counts.update((w, i) for i, w in enumerate((a, b, c)) if w)
-        if len(counts) > 500_000:
-            yield from _records([(w, i, n) for (w, i), n in counts.items()], _ZH_COUNT)
-            counts.clear()
-    yield from _records([(w, i, n) for (w, i), n in counts.items()], _ZH_COUNT)
+    def places(batches):
+        for batch in batches:
+            for page, number, at, word, place in _windows(batch):
+                hit = np.isin(word >> _BITS * (2 - place) & _SIGN, wrong)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("image_id").take(pa.array(page[hit])), pa.array(number[hit].astype(np.int32)), pa.array(at[hit].astype(np.int32)), pa.array(word[hit]), pa.array(np.full(int(hit.sum()), place, np.int32))],
+                    names=["image_id", "line_no", "at", "word", "place"],
+                )
+
+    return places
+
+
+def _code_value(code: Column) -> Column:
+    p = F.lit(_PRIME).cast("long")
+    x2 = (code * code) % p
+    return (((x2 * x2) % p) * code) % p
 
 
 def misread_characters(lines: DataFrame) -> DataFrame:
     """Misread Chinese characters: image_id, line_no, at (place in the line), ch, right.
 
-    A character is misread if the windows around it are rare, and the same
-    windows with one other character are frequent, and if that confusion
-    explains a large part of the character's uses in the whole corpus.
+    ``lines``: image_id, line_no, zh (a line with Chinese text, or null).
+    """
+    zh = lines.where("zh is not null").groupBy("image_id").agg(F.collect_list("zh").alias("lines"), F.collect_list("line_no").alias("nos"))  # the lines of one page
+    return characters_on_pages(zh.select("image_id", "lines", "nos"))
+
+
+def characters_on_pages(marked: DataFrame) -> DataFrame:
+    """Misread Chinese characters of pages: image_id, line_no, at, ch, right.
+
+    ``marked``: image_id and text, out (numbers of lines to leave out), or
+    image_id and lines with their numbers.  Windows of three characters are the words here.  A rare window is joined with the
+    frequent ones whose anagram value differs from its own by the difference
+    of one character.  A character is misread if such pairs with one and the
+    same other character explain a large part of its uses in the whole corpus.
     """
-    zh = lines.where("zh is not null").groupBy("image_id").agg(F.collect_list("line_no").alias("nos"), F.collect_list("zh").alias("lines"))  # the lines of one page
     scrap: list[Written] = []
-    zh = _kept(zh, "zh", scrap)
-    counts = _kept(zh.mapInArrow(_zh_counts, _ZH_COUNT).groupBy("word", "at").agg(F.sum("n").alias("n")), "windows", scrap)
-    # Window 1 has the character last, 2 in the middle, 3 first.
-    ch = F.when(F.col("at") == 0, F.element_at(F.split("word", ""), F.length("word"))).when(F.col("at") == 1, F.substring("word", 2, 1)).otherwise(F.substring("word", 1, 1))
-    # F.split with an empty pattern may add an empty last part.
-    ch = F.when(F.col("at") == 0, F.expr("right(word, 1)")).otherwise(ch)
-    mask = F.when(F.col("at") == 0, F.expr("left(word, length(word) - 1)")).when(F.col("at") == 1, F.concat(F.substring("word", 1, 1), F.lit("_"), F.expr("right(word, 1)"))).otherwise(F.expr("right(word, length(word) - 1)"))
-    masked = counts.withColumn("ch", ch).withColumn("mask", mask)
-    uses = _kept(masked.groupBy("ch").agg(F.sum("n").alias("windows"), F.sum(F.when(F.col("at") == 1, F.col("n"))).alias("uses")), "uses", scrap)
+    counts = marked.mapInArrow(_zh_counts, _ZH_COUNT).groupBy("word", "place").agg(F.sum("n").alias("n"))
+    sign = lambda k: F.expr(f"shiftright(word, {_BITS} * {k}) & {_SIGN}L")
+    own = F.expr(f"shiftright(word, {_BITS} * (2 - place)) & {_SIGN}L")
+    value = _code_value(sign(0)) + _code_value(sign(1)) + _code_value(sign(2))
+    counts = counts.select("word", "place", "n", own.alias("ch"), value.alias("value"))
+    # What two windows that differ in one character have in common: their value less that of the character.
+    counts = _kept(counts.withColumn("common", F.col("value") - _code_value(F.col("ch"))), "windows", scrap)
+    uses = _kept(counts.groupBy("ch").agg(F.sum("n").alias("windows"), F.coalesce(F.sum(F.when(F.col("place") == 1, F.col("n"))), F.lit(0)).alias("uses")), "uses", scrap)
+    most = uses.agg(F.max("uses")).first()[0] or 0
     # Every frequent character of a window stands for what could be meant; of the rare ones only those that RATIO lets pass beside some character.
-    seldom = uses.crossJoin(F.broadcast(uses.agg(F.max("uses").alias("most")))).where(F.col("most") >= RATIO * F.col("uses")).select("ch")
-    meant = masked.where("n >= 2").select("at", "mask", F.col("ch").alias("right"), F.col("n").alias("right_n"))
-    cand = masked.join(seldom, "ch", "left_semi").join(meant, ["at", "mask"]).where((F.col("ch") != F.col("right")) & (F.col("right_n") >= WINDOW_RATIO * F.col("n")))
+    seldom = uses.where(F.col("uses") * RATIO <= F.lit(most)).select("ch")
+    meant = counts.where("n >= 2").select("place", "common", F.col("word").alias("right_word"), F.col("ch").alias("right"), F.col("n").alias("right_n"))
+    cand = counts.join(seldom, "ch", "left_semi").join(meant, ["place", "common"])
+    field = F.expr(f"shiftleft({_SIGN}L, {_BITS} * (2 - place))")
+    alike = F.col("word").bitwiseOR(field) == F.col("right_word").bitwiseOR(field)
+    cand = cand.where(alike & (F.col("ch") != F.col("right")) & (F.col("right_n") >= WINDOW_RATIO * F.col("n")))
+    cand = _kept(cand.select("place", "word", "n", "ch", "right", "right_n"), "variants", scrap)
     # For each character the one that makes its windows likeliest; at most one row for each character that exists.
     gain = F.sum(F.col("n") * F.log(F.col("right_n") * 10 + 1))
-    pairs = cand.groupBy("ch", "right").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") == 1, F.col("n")).otherwise(0)).alias("middle"), gain.alias("gain"))
+    pairs = cand.groupBy("ch", "right").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") == 1, F.col("n")).otherwise(0)).alias("middle"), gain.alias("gain"))
     pairs = pairs.join(uses, "ch").join(uses.select(F.col("ch").alias("right"), F.col("uses").alias("right_uses")), "right")
     pairs = pairs.where((F.col("right_uses") >= RATIO * F.col("uses")) & (F.col("n") >= 0.5 * F.col("windows")) & (F.col("middle") >= 0.2 * F.col("uses")))
     likely = F.col("gain") - F.col("windows") * F.log("right_uses")
     pairs = pairs.groupBy("ch").agg(F.max(F.struct(likely.alias("likely"), "right")).alias("p")).select("ch", "p.right")
-    pairs = cut(pairs.select(F.col("ch").alias("wrong"), F.col("right").alias("true")), "pairs")
-    # Where such a character stands.
-    sent = F.broadcast(pairs)
-    places = zh.mapInArrow(_zh_places, _ZH_SCHEMA).join(sent, F.col("ch") == F.col("wrong"))
-    places = _kept(places.select("image_id", "line_no", "at", "ch", "true", F.explode(F.array("a", "b", "c")).alias("word")).where("word is not null"), "places", scrap)
-    # Its windows are the rare words, joined by the anagram difference with the frequent ones.
-    rare = places.select("word").distinct().join(counts.groupBy("word").agg(F.sum("n").alias("n")), "word")
-    often = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
-    found = confusable_variants(rare, often, pairs).where("right_n >= 2 * n")
-    hit = places.join(found.select("word", F.col("wrong").alias("ch"), "true"), ["word", "ch", "true"])
-    found = cut(hit.groupBy("image_id", "line_no", "at", "ch", F.col("true").alias("right")).agg(F.count("*").alias("votes")), "characters")
+    learned = cut(pairs, "pairs")
+    # Where windows stand that were joined for such a pair.
+    wrong = np.array(sorted(r.ch for r in learned.select("ch").collect()), np.int64)  # at most one for each character that exists
+    places = marked.mapInArrow(_zh_places(wrong), _ZH_SCHEMA)
+    variants = cand.join(learned, ["ch", "right"]).select("place", "word", "ch", "right")
+    hit = places.join(variants, ["word", "place"])
+    sent = lambda c: F.expr(f"decode(unhex(lpad(hex({c}), 8, '0')), 'UTF-32')")
+    found = hit.groupBy("image_id", "line_no", "at", "ch", "right").agg(F.count("*").alias("votes"))
+    found = cut(found.select("image_id", "line_no", "at", sent("ch").alias("ch"), sent("right").alias("right"), "votes"), "characters")
     for table in scrap:
         table.drop()
     return found
 
 
-def _zh_places(batches):
-    for pages in _by_page(batches):
-        yield from _records(list(_windows(pages)), _ZH_SCHEMA)
-
-
 def pages_of(images: DataFrame) -> DataFrame:
     """Pages with text: media_id, image_id, page, first_page, text; repeated rows of an image count once.
 
@@ -450,39 +555,35 @@ def pages_of(images: DataFrame) -> DataFrame:
     return one.select("r.media_id", "image_id", "r.page", "r.text").join(first, "media_id")
 
 
-def _findings(images: DataFrame):
+def located_repairs(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every repair with its place, and the pages with their furniture.
+
+    Repairs: image_id, line_no, kind, at (the word's or the character's place
+    in the stripped line, null for furniture), repaired.  Pages: media_id,
+    image_id, page, text, out.
+    """
     scrap: list[Written] = []
     pages = _kept(pages_of(images), "pages", scrap)
     out = cut(furniture(pages, scrap), "furniture")
-    lines = cut(running_text(pages, out, scrap), "lines")
+    marked = cut(marked_pages(pages, out), "marked")
+    lines = cut(running_text(marked, scrap), "lines")
     for table in scrap:
         table.drop()
-    tokens = word_tokens(lines.where("line rlike '[A-Za-z]'"))
-    breaks = (F.col("at") == F.col("n_words") - 1) & F.col("raw").rlike(rf"[A-Za-z0-9+|][{HYPHENS}]$") & F.col("next").isNotNull()
-    whole = tokens.where(~F.coalesce(breaks, F.lit(False)) & F.col("token").rlike("[A-Za-z]"))
-    counts = cut(whole.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")), "words")
-    return out, lines, tokens, breaks, counts
-
-
-def repairs(images: DataFrame) -> DataFrame:
-    """Every repair: image_id, line_no, kind (furniture, hyphen, misread), repaired.
-
-    ``images``: image_id, media_id, item_index, ocr_text.  Null or blank texts
-    give nothing; rows that repeat an image count once; a null media is a work
-    of its own, a null index stands before the first page.
-    """
-    out, lines, tokens, breaks, counts = _findings(images)
-    wrong = cut(misread_words(counts), "misread")
+    tokens = word_tokens(lines)
+    counts = tokens.where(F.col("token").rlike("[A-Za-z]")).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    counts = cut(valued(counts), "words")
+    wrong = cut(misread_words(counts, counts), "misread")
     small = wrong.count() <= BROADCAST_WORDS
     sized = F.broadcast(wrong) if small else wrong
 
     # Broken words: written as they stand inside lines elsewhere, joined or with a hyphen.
-    broken = tokens.where(breaks).withColumn("a", F.regexp_replace("token", rf"[{HYPHENS}]+$", "")).withColumn("b", _stripped(F.col("next")))
+    last = F.element_at(F.split(F.col("line"), r"\s+"), -1)
+    broken = lines.where(_is_broken()).select("image_id", "line_no", (F.size(F.split(F.col("line"), r"\s+")) - 1).alias("at"), F.regexp_replace(_stripped(last), rf"[{HYPHENS}]+$", "").alias("a"), _stripped(F.col("next")).alias("b"))
     broken = broken.where("b <> ''").withColumn("joined", F.concat("a", "b")).withColumn("dashed", F.concat("a", F.lit("-"), "b"))
-    broken = cut(broken.select("image_id", "line_no", "a", "b", "joined", "dashed"), "broken")
-    asked = broken.select(F.explode(F.array(F.lower("joined"), F.lower("dashed"))).alias("word")).groupBy("word").agg(F.count("*").alias("asked"))
-    known = asked.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), "asked")
-    fixed = misread_words(counts.unionByName(known.where("n = 0").select("word", F.lit(1).cast("long").alias("n"))))
+    broken = cut(broken.select("image_id", "line_no", "at", "a", "b", "joined", "dashed"), "broken")
+    asked = broken.select(F.explode(F.array(F.lower("joined"), F.lower("dashed"))).alias("word")).distinct()
+    known = cut(valued(asked.join(counts.select("word", "n"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))), "asked")
+    fixed = misread_words(known.withColumn("n", F.greatest("n", F.lit(1))), counts)
     known = known.join(fixed.select("word", "right", F.col("wrong").alias("w"), F.col("true").alias("t")), "word", "left")
     known = known.join(counts.select(F.col("word").alias("right"), F.col("n").alias("right_n")), "right", "left")
     known = cut(known.select("word", "n", "right", "w", "t", F.coalesce("right_n", "n").alias("weight")), "joined")
@@ -491,17 +592,129 @@ def repairs(images: DataFrame) -> DataFrame:
     both = broken.join(j, F.lower("joined") == F.col("jw"), "left").join(d, F.lower("dashed") == F.col("dw"), "left")
     dash = F.coalesce("dn", F.lit(0)) > F.coalesce("jn", F.lit(0))
     both = both.select(
-        "image_id", "line_no", F.when(dash, F.col("dashed")).otherwise(F.col("joined")).alias("token"), F.when(dash, F.col("dr")).otherwise(F.col("jr")).alias("right"),
-        F.when(dash, F.col("dwr")).otherwise(F.col("jwr")).alias("wrong"), F.when(dash, F.col("dt")).otherwise(F.col("jt")).alias("true"), F.lit(False).alias("opens"),
+        "image_id", "line_no", "at", F.when(dash, F.col("dashed")).otherwise(F.col("joined")).alias("token"), F.when(dash, F.col("dr")).otherwise(F.col("jr")).alias("right"),
+        F.when(dash, F.col("dwr")).otherwise(F.col("jwr")).alias("wrong"), F.when(dash, F.col("dt")).otherwise(F.col("jt")).alias("true"),
     )
-    hyphen = both.select("image_id", "line_no", F.lit("hyphen").alias("kind"), F.when(F.col("right").isNull(), F.col("token")).otherwise(_keep_case(F.col("token"), F.col("right"), F.col("wrong"), F.col("true"))).alias("repaired"))
+    hyphen = both.select("image_id", "line_no", F.lit("hyphen").alias("kind"), "at", F.when(F.col("right").isNull(), F.col("token")).otherwise(_keep_case(F.col("token"), F.col("right"), F.col("wrong"), F.col("true"))).alias("repaired"))
 
     # Misread words; the tail of a broken word stands first in a line that follows a break.
-    plain = tokens.where(~F.coalesce(breaks, F.lit(False)))
-    tails = broken.select("image_id", F.col("b").alias("tail")).distinct().groupBy("image_id").agg(F.collect_set("tail").alias("tails"))
-    read = plain.join(sized, F.lower("token") == F.col("word")).withColumn("opens", F.lit(False))
+    read = tokens.join(sized, F.lower("token") == F.col("word"))
+    tails = broken.select("image_id", F.col("b").alias("tail")).distinct().groupBy("image_id").agg(F.collect_set("tail").alias("tails"))  # the broken words of one page
     read = read.join(tails, "image_id", "left").where((F.col("at") > 0) | F.col("tails").isNull() | ~F.array_contains("tails", F.col("token")))
-    misread = read.select("image_id", "line_no", F.lit("misread").alias("kind"), _keep_case(F.col("token"), F.col("right"), F.col("wrong"), F.col("true")).alias("repaired"))
-    chars = misread_characters(lines).select("image_id", "line_no", F.lit("misread").alias("kind"), F.col("right").alias("repaired"))
-    edge = out.select("image_id", "line_no", F.lit("furniture").alias("kind"), F.lit("").alias("repaired"))
-    return edge.unionByName(hyphen).unionByName(misread).unionByName(chars).distinct()
+    misread = read.select("image_id", "line_no", F.lit("misread").alias("kind"), "at", _keep_case(F.col("token"), F.col("right"), F.col("wrong"), F.col("true")).alias("repaired"))
+    chars = characters_on_pages(marked.select("image_id", "text", "out")).select("image_id", "line_no", F.lit("character").alias("kind"), "at", F.col("right").alias("repaired"))
+    edge = out.select("image_id", "line_no", F.lit("furniture").alias("kind"), F.lit(None).cast("int").alias("at"), F.lit("").alias("repaired"))
+    return edge.unionByName(hyphen).unionByName(misread).unionByName(chars), marked
+
+
+def repairs(images: DataFrame) -> DataFrame:
+    """Every repair: image_id, line_no, kind (furniture, hyphen, misread), repaired.
+
+    ``images``: image_id, media_id, item_index, ocr_text.  Null or blank texts
+    give nothing; rows that repeat an image count once; a null media is a work
+    of its own, a null index stands before the first page.
+    """
+    found, _ = located_repairs(images)
+    kind = F.when(F.col("kind") == "character", "misread").otherwise(F.col("kind"))
+    return found.select("image_id", "line_no", kind.alias("kind"), "repaired").distinct()
+
+
+# --- continuous text -----------------------------------------------------------
+
+_LINE_SCHEMA = "media_id string, page long, line_no int, line string, opens boolean, closed boolean, title boolean, tight boolean"
+
+
+def _repaired(batches):
+    """The repaired lines of each page; ``opens`` where a blank line or a title stands before, or the line is a title."""
+    for batch in batches:
+        rows = []
+        names = ("media_id", "page", "text", "out", "fixes", "taken")
+        for media, page, text, out, fixes, taken in zip(*(batch.column(c).to_pylist() for c in names)):
+            raw = text.split("\n")
+            lines = _text_lines(text, out)
+            width = max((len(line) for _, line in lines), default=0)
+            by_line: dict[int, list] = {}
+            for fix in fixes or ():
+                by_line.setdefault(fix["line_no"], []).append(fix)
+            drop, before, was_title = bool(taken), None, False
+            bare = lambda a, b: any(not raw[j].strip() for j in range(a, b - 1))  # noqa: E731  (a blank line between two lines)
+            for k, (no, line) in enumerate(lines):
+                # A title stands alone.
+                alone = (k == 0 or bare(lines[k - 1][0], no)) and (k + 1 == len(lines) or bare(no, lines[k + 1][0]))
+                tight, title = drop, alone and looks_like_title(line, width)
+                signs = list(line)
+                for fix in by_line.get(no, ()):
+                    if fix["kind"] == "character":
+                        signs[fix["at"]] = fix["repaired"]
+                words = _WORD.findall("".join(signs))
+                hyphen = False
+                for fix in by_line.get(no, ()):
+                    if fix["kind"] in ("misread", "hyphen"):
+                        w = 2 * fix["at"]
+                        body = strip_word(words[w])
+                        words[w] = words[w].replace(body.rstrip(HYPHENS) if fix["kind"] == "hyphen" else body, fix["repaired"], 1)
+                        if fix["kind"] == "hyphen":
+                            words[w], hyphen = words[w].rstrip(HYPHENS), True
+                if drop and not line.isdigit():
+                    # The rest of a broken word stands in the line before; signs behind it follow it without a blank.
+                    signs_left = _AFTER_WORD.search(words[0])[0]
+                    words = ([GLUED + signs_left] if signs_left else []) + words[1:]
+                    drop = False
+                fixed = "".join(words).strip()
+                blank = before is not None and bare(before, no)
+                rows.append((media, page, no, fixed, blank or title or was_title, bool(_SAID.search(fixed)), title, tight))
+                before, was_title, drop = no, title, hyphen or (drop and line.isdigit())
+        yield from _records(rows, _LINE_SCHEMA)
+
+
+_WORD = re.compile(r"\S+|\s+")
+#: Closing signs, with quotes and brackets behind them.
+_SAID = re.compile(r"[.?!。？！…:：;；][\"'”’」』）)\]]*$")
+#: Chinese signs; a line's end beside one stands for no blank.
+_WIDE = r"\x{3000}-\x{303F}\x{3400}-\x{9FFF}\x{FF00}-\x{FFEF}"
+#: Stands before a line's first sign that belongs to the word before.
+GLUED = "\x01"
+_AFTER_WORD = re.compile(rf"{_PUNCT}$|$")
+
+
+def paragraphs(images: DataFrame) -> DataFrame:
+    """The continuous text of each work: media_id, paragraph_no (from 1), first_page, text.
+
+    Furniture is left out, broken words are whole and misread ones right.  A
+    blank line between two lines of text, or a title, parts paragraphs; over
+    the edge of a page a paragraph goes on unless its line ends with a closing
+    sign or a title follows.  Lines are joined by a blank, Chinese ones, and
+    numbers beside Chinese signs, without.  Inputs as in ``repairs``; images without media are the work
+    with the empty name.
+    """
+    found, marked = located_repairs(images)
+    fixes = found.where("kind <> 'furniture'").groupBy("image_id").agg(F.collect_set(F.struct("line_no", "kind", "at", "repaired")).alias("fixes"))  # the repairs of one page
+    held = marked.join(fixes, "image_id", "left")
+    # A page whose last word goes on takes the first word of the next page with text.
+    ends = marked.select("media_id", "page", "image_id", F.expr("array_max(filter(sequence(1, size(split(text, '\n'))), k -> btrim(split(text, '\n')[k - 1]) <> '' and not coalesce(array_contains(out, k), false) and not btrim(split(text, '\n')[k - 1]) rlike '^[0-9]+$'))").alias("last_line")).where("last_line is not null")
+    open_ = ends.join(found.where("kind = 'hyphen'").select("image_id", F.col("line_no").alias("last_line"), F.lit(True).alias("goes_on")), ["image_id", "last_line"], "left")
+    open_ = open_.groupBy("media_id", "page").agg(F.coalesce(F.max("goes_on"), F.lit(False)).alias("goes_on"))
+    taken = over_pages(open_, F.lag, "goes_on", F.max_by("goes_on", "page")).select("media_id", "page", F.coalesce("found", F.lit(False)).alias("taken"))
+    pages = held.join(taken, ["media_id", "page"], "left").select("media_id", "page", "text", "out", "fixes", "taken")
+    lines = cut(pages.mapInArrow(_repaired, _LINE_SCHEMA).where("line <> ''"), "repaired")
+    # Whether a page goes on where the one before ended, and how many paragraphs begin on it.
+    edges = lines.groupBy("media_id", "page").agg(
+        F.min_by("title", "line_no").alias("title"), F.min_by("tight", "line_no").alias("tight"), F.min("line_no").alias("first_line"), F.max_by(F.struct("closed", "title"), "line_no").alias("end"),
+        F.count(F.when(F.col("opens"), 1)).alias("inside"), F.min_by("opens", "line_no").alias("first_opens"),
+    )
+    before = over_pages(edges, F.lag, "end", F.max_by("end", "page"))
+    edges = edges.join(before, ["media_id", "page"])
+    starts = F.col("found").isNull() | (~F.col("tight") & (F.col("title") | F.col("found.closed") | F.col("found.title")))
+    edges = edges.select("media_id", "page", "first_line", starts.alias("starts"), (F.col("inside") - F.col("first_opens").cast("int") + starts.cast("int")).alias("n"))
+    blocks = edges.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    sums = blocks.groupBy("media_id", "block").agg(F.sum("n").alias("n"))
+    sums = sums.select("media_id", "block", F.coalesce(F.sum("n").over(W.partitionBy("media_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("media_id", "block").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("inside", inside).join(sums, ["media_id", "block"]).select("media_id", "page", "first_line", "starts", (F.col("inside") + F.col("earlier")).alias("earlier"))
+    rows = lines.join(placed, ["media_id", "page"]).withColumn("new", F.when(F.col("line_no") == F.col("first_line"), F.col("starts")).otherwise(F.col("opens")))
+    number = F.col("earlier") + F.sum(F.col("new").cast("int")).over(W.partitionBy("media_id", "page").orderBy("line_no"))
+    rows = rows.withColumn("paragraph_no", number)
+    held = rows.groupBy("media_id", "paragraph_no").agg(F.min("page").alias("first_page"), F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("c"))  # the lines of one paragraph
+    text = F.replace(F.array_join(F.transform("c", lambda x: x["line"]), "\n"), F.lit("\n" + GLUED), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(text, rf"(?<=[{_WIDE}])\n(?=[{_WIDE}0-9])|(?<=[0-9])\n(?=[{_WIDE}])", ""), r"\n", " ")
+    return held.select("media_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "first_page", text.alias("text"))

@@ -59,6 +59,50 @@ def test_repairs(spark):
     assert by["furniture"] == numbers | heads
 
 
+def test_paragraphs(spark):
+    """Planted damage comes back letter for letter, over lines, pages and blocks of pages."""
+    pages_, want = [], []
+    chapters = ["NOTES ON PIPELINES", "NOTES ON PIPELINES"]
+    sentence = "The register was checked before the pipeline stopped, and nobody expected the register to outlast the low-cost pipeline."
+    for n in range(1, 41):
+        lines = [chapters[n % 2], f"- {n} -", ""]
+        if n == 1:
+            lines += ["The register was checked before the pipe-", "line stopped, and nobody expected the rcgister", "to outlast the low-", "cost pipel1ne.", ""]
+        if n == 2:
+            lines += ["The register was checked before the pipeline stopped, and nobody expected the reg-"]
+            pages_.append(("i2", "w", 2, "\n".join(lines)))
+            continue
+        if n == 3:
+            lines += ["ister, to outlast the low-cost pipeline.", ""]
+        lines += ["The register was checked before the pipeline", "stopped, and nobody expected the register to", "outlast the low-cost pipeline."]
+        pages_.append((f"i{n}", "w", n, "\n".join(lines)))
+    want = [(1, sentence), (1, sentence), (2, sentence.replace("the register to", "the register, to"))] + [(n, sentence) for n in range(3, 41)]
+    zh = "如果模块出现问题，请先检查缓存。这份说明共有三行，作者感谢各位读者。"
+    pages_ += [(f"z{n}", "zh", n, "\n".join([f"第{n}页   接口讲义", "", zh[:20], zh.replace("如果", "如呆")[20:] if n == 7 else zh[20:], "", f"这一条写了{n * 37}", "行。"])) for n in range(1, 31)]
+    pages_ += [("e1", "w", 90, None), ("e2", "w", 91, ""), ("e3", None, None, " \n "), ("e4", None, None, "Alone")]
+    df = spark.createDataFrame([(*r, 1) for r in pages_], "image_id string, media_id string, item_index int, ocr_text string, page int")
+    got = scanned.paragraphs(df).collect()
+    work = lambda m: [(r.first_page, r.text) for r in sorted(got, key=lambda r: r.paragraph_no) if r.media_id == m]
+    assert work("w") == want
+    assert work("zh") == [(n, t) for n in range(1, 31) for t in (zh, f"这一条写了{n * 37}行。")]
+    assert work("") == [(0, "Alone")] and {r.media_id for r in got} == {"w", "zh", ""}
+    assert [r.paragraph_no for r in sorted(got, key=lambda r: r.paragraph_no) if r.media_id == "w"] == list(range(1, len(want) + 1))
+    assert scanned.paragraphs(df.limit(0)).count() == 0
+
+
+def test_paragraphs_go_on_over_blocks_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(scanned, "PAGE_BLOCK", 3)
+    df = spark.createDataFrame([(f"i{n}", "w", n, f"and so it went on in line {n} of the text") for n in range(1, 12)], "image_id string, media_id string, item_index int, ocr_text string")
+    assert [(r.paragraph_no, r.text.count("line")) for r in scanned.paragraphs(df).collect()] == [(1, 11)]
+
+
+def test_furniture_behind_many_short_lines(spark):
+    """A page number is found however many titles stand between it and the page's edge."""
+    rows = [(f"i{n}", "w", n, "\n".join(["Part One", "On Registers", "And Pipelines", "By Nobody", f"- {n} -", "", "The register was checked before the pipeline stopped."])) for n in range(1, 9)]
+    df = spark.createDataFrame(rows, "image_id string, media_id string, item_index int, ocr_text string")
+    assert {(r.image_id, r.line_no) for r in scanned.repairs(df).where("kind = 'furniture' and line_no = 5").collect()} == {(f"i{n}", 5) for n in range(1, 9)}
+
+
 def test_repairs_of_nothing(spark):
     schema = "image_id string, media_id string, item_index int, ocr_text string"
     assert scanned.repairs(spark.createDataFrame([], schema)).count() == 0
