@@ -2,31 +2,35 @@
 
 An identifier that ends in a number is a sequence number of its producer (all
 that stands before the number, together with the rest of the message key).
-Sorted by producer and number, the numbers seen so far form disjoint ranges: a
-number inside the current range was seen before, the next number extends it,
-any other opens a new one.  Identifiers of another form are looked up by their
-exact text.  Rows are range-partitioned, so that neither a busy producer nor a
-message with very many copies ends in one task.
+For each producer the numbers seen so far are held as disjoint ranges.  A
+delivery is taken in like this: the first row of each number that no range
+covers is accepted, and the new numbers are merged with the ranges.
+Identifiers of another form are looked up by their exact text.  Ranges are cut
+at multiples of BLOCK numbers and rows of one number are put together before
+they are shuffled, so neither a busy producer nor a message with very many
+copies ends in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import fresh_name
-from tallyloom.operators import scans
-from tallyloom.operators.intervals import periods_and_gaps
-from tallyloom.session import write_cut
+from tallyloom.session import Written, write_cut
 
 #: Identifiers ending in up to this many hexadecimal digits carry a sequence number.
 HEX_DIGITS = 15
 _SEQUENCE = rf"^(.*[^0-9a-f]|)([0-9a-f]{{1,{HEX_DIGITS}}})$"
-#: Copies of one message that a task holds back at most.
-HELD_COPIES = 200_000
+#: Ranges are cut at multiples of this many numbers, so that a busy producer spreads over tasks.
+BLOCK = 4096
+#: A whole table is taken in as this many deliveries, in the order of arrival.
+ARRIVALS = 3
+#: Rows of one message that are paired by one task.
+PAIR_ROWS = 2_000
 KEYS = ["scope", "attempt", "producer", "width"]
 
 
@@ -54,7 +58,107 @@ def deliveries(df: DataFrame, scope: str, identifier: str, attempt: str, row: st
     return whole.select("scope", "attempt", producer.alias("producer"), width.cast("int").alias("width"), seq.alias("seq"), "row_id")
 
 
-def copies(df: DataFrame, scope: str, identifier: str, attempt: str, row: str, parts: int | None = None) -> DataFrame:
+# --- taking in deliveries ------------------------------------------------------
+
+_TAKEN = "scope string, attempt int, producer string, width int, block long, message boolean, seq long, upto long, row_id long, accepted boolean, repeated boolean"
+
+
+def take_in(rows: DataFrame, seen: DataFrame | None = None) -> Written:
+    """Takes in a delivery: one row for each of its messages, and the ranges seen after it.
+
+    ``rows``: scope, attempt, producer, width, seq, row_id (see
+    ``deliveries``).  ``seen``: the ranges seen before (see ``ranges_of``).
+    Messages (``message`` is true): row_id is the first row of the delivery,
+    ``accepted`` tells that the number was not seen before, ``repeated`` that
+    it was or that the delivery has it more than once.  Ranges: seq to upto.
+    """
+    first = rows.groupBy(*KEYS, "seq").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+    keys = [*KEYS, "block"]
+    fresh = first.where("width > 0").withColumn("block", F.expr(f"seq div {BLOCK}"))
+    # At most BLOCK numbers of one producer.
+    fresh = fresh.groupBy(*keys).agg(F.collect_list("seq").alias("seqs"), F.collect_list("row_id").alias("row_ids"), F.collect_list("n").alias("ns"))
+    if seen is None:
+        joined = fresh.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("los", "his")})
+        known = first.where("width = 0").withColumn("found", F.lit(False))
+    else:
+        held = seen.where("width > 0").groupBy(*keys).agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+        joined = fresh.join(held, keys, "full")
+        names = seen.where("width = 0").select(*KEYS, F.lit(True).alias("found"))
+        known = first.where("width = 0").join(names, KEYS, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    numbered = joined.select(*keys, "seqs", "row_ids", "ns", "los", "his").mapInArrow(_merged, _TAKEN)
+    zero = F.lit(0).cast("long")
+    plain = known.select(*KEYS, zero.alias("block"), F.lit(True).alias("message"), zero.alias("seq"), zero.alias("upto"), "row_id", (~F.col("found")).alias("accepted"), (F.col("found") | (F.col("n") > 1)).alias("repeated"))
+    names = known.select(*KEYS).unionByName(seen.where("width = 0").select(*KEYS)).distinct() if seen is not None else known.select(*KEYS)
+    no = F.lit(None).cast("boolean")
+    names = names.select(*KEYS, zero.alias("block"), F.lit(False).alias("message"), zero.alias("seq"), zero.alias("upto"), F.lit(None).cast("long").alias("row_id"), no.alias("accepted"), no.alias("repeated"))
+    return write_cut(numbered.unionByName(plain).unionByName(names), "taken")
+
+
+def ranges_of(taken: DataFrame) -> DataFrame:
+    """The disjoint ranges in a result of ``take_in``: scope, attempt, producer, width, block, lo, hi."""
+    return taken.where("not message").select(*KEYS, "block", F.col("seq").alias("lo"), F.col("upto").alias("hi"))
+
+
+def _merged(batches):
+    """Accepts the numbers that no range covers and merges them with the ranges, for many blocks at once.
+
+    A block's numbers stand BLOCK apart from those of the next one, so that
+    sorted numbers and ranges of all blocks never meet.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        base = batch.column("block").to_numpy() * BLOCK
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        of = lambda c: np.repeat(np.arange(n), pa.compute.fill_null(batch.column(c).value_lengths(), 0).to_numpy(zero_copy_only=False))
+        owner, held = of("seqs"), of("los")
+        number, row, times = flat("seqs"), flat("row_ids"), flat("ns")
+        place = owner * 2 * BLOCK + number - base[owner]
+        lo, hi = (held * 2 * BLOCK + flat(c) - base[held] for c in ("los", "his"))
+        order = np.argsort(lo, kind="stable")
+        lo, hi, held = lo[order], hi[order], held[order]
+        at = np.searchsorted(lo, place, side="right") - 1
+        covered = (at >= 0) & (hi[np.maximum(at, 0)] >= place) if len(lo) else np.zeros(len(place), bool)
+        yield _taken(batch, owner, True, number, number, row, ~covered, covered | (times > 1))
+        # The accepted numbers are ranges of one; ranges that touch are one range.
+        every = np.concatenate([lo, place[~covered]])
+        upto, block = np.concatenate([hi, place[~covered]]), np.concatenate([held, owner[~covered]])
+        order = np.argsort(every, kind="stable")
+        every, upto, block = every[order], upto[order], block[order]
+        begins = np.flatnonzero(np.append(True, every[1:] > upto[:-1] + 1)) if len(every) else np.zeros(0, np.int64)
+        ends = np.append(begins[1:], len(every)) - 1
+        block = block[begins] if len(every) else np.zeros(0, np.int64)
+        shift = base[block] - block * 2 * BLOCK
+        none = np.zeros(len(block), bool)
+        yield _taken(batch, block, False, every[begins] + shift, (upto[ends] if len(every) else every) + shift, np.zeros(len(block), np.int64), none, none)
+
+
+def _taken(batch, owner, message, seq, upto, row, accepted, repeated):
+    keys = [batch.column(k).take(pa.array(owner)) for k in (*KEYS, "block")]
+    values = [pa.array(np.full(len(owner), message)), *[pa.array(x) for x in (seq, upto, row, accepted, repeated)]]
+    return pa.RecordBatch.from_arrays([*keys, *values], names=[f.split()[0] for f in _TAKEN.split(", ")])
+
+
+def taken_in(df: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
+    """The messages of all deliveries of ``df``, which are taken in one after the other in the order of ``row``.
+
+    Columns of ``take_in``; a message has one accepted row, and one more for
+    each later delivery that has it again.
+    """
+    rows = deliveries(df, scope, identifier, attempt, row)
+    ends = df.agg(F.min(F.col(row).cast("long")).alias("a"), F.max(F.col(row).cast("long")).alias("b")).first()
+    if ends.a is None:
+        return take_in(rows).read().where("message")
+    step = max(1, -(-(ends.b - ends.a + 1) // ARRIVALS))
+    out, last = None, None
+    for low in range(ends.a, ends.b + 1, step):
+        part = take_in(rows.where((F.col("row_id") >= low) & (F.col("row_id") < low + step)), ranges_of(last.read()) if last else None)
+        last = part
+        told = part.read().where("message")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def copies(df: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
     """Rows that are copies of one message: row_id and kept_row_id, the message's first row.
 
     Lists every row of a message that has more than one row, the kept one
@@ -64,97 +168,10 @@ def copies(df: DataFrame, scope: str, identifier: str, attempt: str, row: str, p
     Identifiers of any length and form are taken whole; an empty table gives no
     rows; other columns of ``df`` are left out.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = deliveries(df, scope, identifier, attempt, row)
-    ranged = rows.repartitionByRange(parts, *KEYS, "seq", "row_id").sortWithinPartitions(*KEYS, "seq", "row_id")
-    seen = write_cut(ranged.mapInArrow(_covered, "row_id bigint, first_row bigint, edge boolean, many boolean, scope string, attempt int, producer string, width int, seq bigint"), "seen").read()
-    # A message that stands at an edge of a partition may go on in the next: at most two messages for each partition.
-    edge = seen.where("edge")
-    whole = edge.groupBy(*KEYS, "seq").agg(F.min("first_row").alias("__first"))
-    joined = edge.join(F.broadcast(whole), [*KEYS, "seq"])
-    many = joined.groupBy("__first").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__first").alias("__many"))
-    at_edge = joined.join(F.broadcast(many), F.col("__first") == F.col("__many")).select("row_id", F.col("__first").alias("kept_row_id"))
-    inside = seen.where(~F.col("edge") & F.col("many")).select("row_id", F.col("first_row").alias("kept_row_id"))
-    return inside.unionByName(at_edge)
-
-
-def _covered(batches):
-    """Lists the rows of messages with several rows, and all rows of a partition's first and last message.
-
-    State between blocks: the rows of the open message, which are only known
-    to be all when the next message begins.
-    """
-    names = [*KEYS, "seq"]
-    held = None  # (key, first row, rows so far, listed so far, is the partition's first message)
-    table = None
-    for table in scans.blocks(batches):
-        producer = scans.starts_of_groups(table, KEYS, held[0][:-1] if held else None)
-        seq, row = table.column("seq").to_numpy(), table.column("row_id").to_numpy()
-        # Numbers inside the range seen so far were delivered before.
-        top = scans.running_max(seq, producer, held[0][-1] if held else None)
-        before = np.empty_like(top)
-        before[1:] = top[:-1]
-        before[0] = held[0][-1] if held else -1
-        accepted = producer | (seq > before)
-        start = np.flatnonzero(accepted)
-        lead = start[0] if len(start) else len(row)
-        if held is not None:
-            key, first, count, waiting, at_begin = held
-            count += int(lead)
-            rows = np.concatenate([waiting, row[:lead]]) if lead else waiting
-            if at_begin:
-                yield from _listed(key, first, rows, True, count > 1)
-                rows = rows[:0]
-            elif count > 1:
-                if len(start):
-                    yield from _listed(key, first, rows, False, True)
-                    rows = rows[:0]
-                elif len(rows) > HELD_COPIES:
-                    # Too many copies to hold: a message that fills a block is listed as an edge.
-                    yield from _listed(key, first, rows, True, True)
-                    rows, at_begin = rows[:0], True
-            held = (key, first, count, rows, at_begin)
-            if not len(start):
-                continue
-        size = np.diff(np.append(start, len(row)))
-        for_all = np.repeat(np.arange(len(start)), size)
-        body = np.arange(lead, len(row))
-        is_last, is_first = for_all == len(start) - 1, (for_all == 0) & (held is None)
-        take = (size[for_all] > 1) & ~is_last & ~is_first
-        if take.any():
-            part = table.take(pa.array(body[take]))
-            yield from _batch(part, row[start[for_all[take]]], False, True)
-        if held is None and len(start) > 1:
-            part = table.slice(0, int(size[0]))
-            yield from _batch(part, np.full(int(size[0]), row[0]), True, size[0] > 1)
-        last = int(start[-1])
-        held = (scans.key_at(table, names, last), int(row[last]), int(size[-1]), row[last:], held is None and len(start) == 1)
-        if held[4]:
-            yield from _listed(held[0], held[1], held[3], True, held[2] > 1)
-            held = (*held[:3], row[:0], True)
-    if held is not None and len(held[3]):
-        yield from _listed(held[0], held[1], held[3], True, held[2] > 1)
-
-
-def _listed(key, first, rows, edge, many):
-    n = len(rows)
-    if not n:
-        return
-    scope, attempt, producer, width, seq = key
-    part = pa.table({
-        "scope": pa.array([scope] * n, pa.string()), "attempt": pa.array([attempt] * n, pa.int32()), "producer": pa.array([producer] * n, pa.string()),
-        "width": pa.array([width] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int64()), "row_id": pa.array(rows, pa.int64()),
-    })
-    yield from _batch(part, np.full(n, first), edge, many)
-
-
-def _batch(part, first, edge, many):
-    n = part.num_rows
-    out = pa.table({
-        "row_id": part.column("row_id"), "first_row": pa.array(first, pa.int64()), "edge": pa.array(np.full(n, bool(edge))), "many": pa.array(np.full(n, bool(many))),
-        **{k: part.column(k) for k in (*KEYS, "seq")},
-    })
-    yield from out.to_batches()
+    key = [*KEYS, "seq"]
+    told = taken_in(df, scope, identifier, attempt, row)
+    again = told.groupBy(*key).agg(F.bool_or("repeated").alias("repeated"), F.min(F.when(F.col("accepted"), F.col("row_id"))).alias("kept_row_id")).where("repeated")
+    return deliveries(df, scope, identifier, attempt, row).join(again, key).select("row_id", "kept_row_id")
 
 
 def delivered_once(df: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
@@ -165,39 +182,34 @@ def delivered_once(df: DataFrame, scope: str, identifier: str, attempt: str, row
 
 
 def copy_pairs(found: DataFrame) -> DataFrame:
-    """Every pair of rows of one message, from a result of ``copies``: row_id_a < row_id_b."""
-    a = found.select("kept_row_id", F.col("row_id").alias("row_id_a"))
-    b = found.select("kept_row_id", F.col("row_id").alias("row_id_b"))
-    return a.join(b, "kept_row_id").where("row_id_a < row_id_b").select("row_id_a", "row_id_b")
+    """Every pair of rows of one message, from a result of ``copies``: row_id_a < row_id_b.
+
+    The rows of a message with very many copies are cut into blocks, and
+    blocks are paired by different tasks.
+    """
+    sizes = found.groupBy("kept_row_id").agg(F.count("*").alias("n"))
+    many = sizes.where(F.col("n") > PAIR_ROWS).select(F.col("kept_row_id").alias("k"), F.ceil(F.col("n") / PAIR_ROWS).cast("int").alias("blocks"))
+    cut_up = found.join(many, F.col("kept_row_id") == F.col("k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut_up = cut_up.select("kept_row_id", "row_id", "blocks", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = cut_up.select("kept_row_id", F.col("own").alias("x"), every.alias("y"), F.col("row_id").alias("row_id_a"))
+    b = cut_up.select("kept_row_id", every.alias("x"), F.col("own").alias("y"), F.col("row_id").alias("row_id_b"))
+    return a.join(b, ["kept_row_id", "x", "y"]).where("row_id_a < row_id_b").select("row_id_a", "row_id_b")
 
 
 def seen_ranges(df: DataFrame, scope: str, identifier: str, attempt: str, row: str, earlier: DataFrame | None = None) -> DataFrame:
-    """The disjoint ranges of sequence numbers seen per producer: scope, attempt, producer, width, lo, hi.
+    """The disjoint ranges of sequence numbers seen per producer: scope, attempt, producer, width, block, lo, hi.
 
-    ``earlier`` are ranges of former batches, which the new ones are merged
+    ``earlier`` are ranges of former deliveries, which the new ones are merged
     with.  Malformed identifiers stand as ranges of width 0 from 0 to 0, one
     for each exact text.
     """
-    numbers = deliveries(df, scope, identifier, attempt, row).select(*KEYS, F.col("seq").alias("lo"), F.col("seq").alias("hi")).distinct()
-    if earlier is not None:
-        numbers = numbers.unionByName(earlier.select(*KEYS, "lo", "hi"))
-    # Half-open intervals touch where the next number follows.
-    spans = periods_and_gaps(numbers.select(*KEYS, F.col("lo").alias("from_ms"), (F.col("hi") + 1).alias("upto_ms")), KEYS)
-    return spans.where("span = 'period'").select(*KEYS, F.col("from_ms").alias("lo"), (F.col("upto_ms") - 1).alias("hi"))
+    return ranges_of(take_in(deliveries(df, scope, identifier, attempt, row), earlier).read())
 
 
 def unseen(df: DataFrame, ranges: DataFrame, scope: str, identifier: str, attempt: str, row: str) -> DataFrame:
-    """The first row of each message of a new batch whose number no range of former batches covers."""
-    new = deliveries(df, scope, identifier, attempt, row).groupBy(*KEYS, "seq").agg(F.min("row_id").alias("row_id"))
-    # As-of lookup: the last range that begins at or before the number, by one sort of both sides.
-    events = new.select(*KEYS, F.col("seq").alias("at"), F.lit(1).alias("kind"), "row_id", F.lit(None).cast("long").alias("hi")).unionByName(
-        ranges.select(*KEYS, F.col("lo").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_id"), "hi")
-    )
-    # Numbers are cut into blocks so that a busy producer spreads; a range is copied into each block that it reaches.
-    block = 1 << 32
-    events = events.withColumn("block", F.explode(F.when(F.col("kind") == 0, F.sequence(F.floor(F.col("at") / block), F.floor(F.col("hi") / block))).otherwise(F.array(F.floor(F.col("at") / block)))))
-    top = F.max("hi").over(W.partitionBy(*KEYS, "block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
-    judged = events.withColumn("top", top).where((F.col("kind") == 1) & (F.col("top").isNull() | (F.col("top") < F.col("at"))))
+    """The first row of each message of a new delivery whose number no range of former ones covers."""
+    told = take_in(deliveries(df, scope, identifier, attempt, row), ranges).read().where("message and accepted")
     key = fresh_name(df.columns, "row")
-    first = judged.select(F.col("row_id").alias(key))
+    first = told.select(F.col("row_id").alias(key))
     return df.join(first, df[row] == first[key], "left_semi")

@@ -238,11 +238,33 @@ def test_copies(spark, seed):
 def test_copies_edges(spark, monkeypatch):
     schema = "s string, i string, a int, row_id long"
     assert delivery.copies(spark.createDataFrame([], schema), *KEY).count() == 0
-    monkeypatch.setattr(delivery, "HELD_COPIES", 10)
+    monkeypatch.setattr(delivery, "PAIR_ROWS", 10)
     same = spark.createDataFrame([("p", "m1", 0, n) for n in range(500)], schema)
     assert {tuple(r) for r in delivery.copies(same, *KEY).collect()} == {(n, 0) for n in range(500)}
 
 
+def test_a_message_of_very_many_copies(spark):
+    """One message fills a third of the rows and more; its rows are put together before they are shuffled."""
+    n = 100_000
+    rows = spark.range(3 * n).select(F.lit("p").alias("s"), F.when(F.col("id") % 3 > 0, "msg_00ff").otherwise(F.concat(F.lit("m_"), F.lpad(F.hex("id"), 9, "0"))).alias("i"), F.lit(0).alias("a"), F.col("id").alias("row_id"))
+    assert delivery.delivered_once(rows, *KEY).count() == n + 1
+    found = delivery.copies(rows, *KEY)
+    assert found.count() == 2 * n and [r.kept_row_id for r in found.select("kept_row_id").distinct().collect()] == [1]
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "PAIR_ROWS", 10)
+    same = spark.createDataFrame([("p", "m1" if n % 9 else "m2", 0, n) for n in range(120)], "s string, i string, a int, row_id long")
+    got = sorted(tuple(r) for r in delivery.copy_pairs(delivery.copies(same, *KEY)).collect())
+    assert got == [(x, y) for x in range(120) for y in range(x + 1, 120) if (x % 9 == 0) == (y % 9 == 0)]
+
+
+def test_ranges_are_cut_at_blocks(spark):
+    rows = spark.range(10_000).select(F.lit("p").alias("s"), F.concat(F.lit("m_"), F.lpad(F.hex("id"), 4, "0")).alias("i"), F.lit(0).alias("a"), F.col("id").alias("row_id"))
+    ranges = sorted((r.block, r.lo, r.hi) for r in delivery.seen_ranges(rows, *KEY).collect())
+    assert ranges == [(0, 0, 4095), (1, 4096, 8191), (2, 8192, 9999)]
+
+
 def test_seen_ranges(spark):
     schema = "s string, i string, a int, row_id long"
     first = spark.createDataFrame([("p", f"m_{n:04x}", 0, n) for n in (1, 2, 3, 7, 8)] + [("p", "free form!", 0, 20)], schema)
