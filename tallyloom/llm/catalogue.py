@@ -32,6 +32,28 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, sf_dir), read_table(spark, sf_dir, "pack_limit"))
 
 
+#: Sources whose texts must not stand in one container, as one tells of the other.
+APART = [("agent_turn", "session_report"), ("glossary_note", "manual_translation")]
+
+
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers in which the sources of APART never meet."""
+    return packing.pack(sized_documents(spark, sf_dir), read_table(spark, sf_dir, "pack_limit"), APART)
+
+
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each limit: texts in containers, texts in parts, containers that hold too much, and that hold copies of one text or sources to keep apart."""
+    packed = cut(p7_apart(spark, sf_dir), "apart")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("cluster"))
+    rows = packed.join(docs, "doc_id").join(read_table(spark, sf_dir, "pack_limit"), "limit_name")
+    held = rows.groupBy("limit_name", "container_id").agg(
+        (F.sum("n_tokens") > F.max("capacity_tokens")).alias("over"), (F.count("*") > F.countDistinct("cluster")).alias("twice"),
+        *[(F.bool_or(F.coalesce(F.col("source") == a, F.lit(False))) & F.bool_or(F.coalesce(F.col("source") == b, F.lit(False)))).alias(f"met{k}") for k, (a, b) in enumerate(APART)],
+    )
+    bad = held.groupBy("limit_name").agg(F.count(F.when(F.col("over"), 1)).alias("overfull"), F.count(F.when(F.col("twice"), 1)).alias("with_copies"), F.count(F.when(F.col("met0") | F.col("met1"), 1)).alias("met"))
+    return packed.groupBy("limit_name").agg(F.countDistinct("doc_id").alias("texts")).join(bad, "limit_name")
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized_documents(spark, sf_dir), read_table(spark, sf_dir, "mix_target"))
 
@@ -57,8 +79,11 @@ def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_text, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_composition, p9_terms)}
+    return {f.__name__: f for f in (p5_found, p5_text, p7_pack, p7_report, p7_apart, p7_whole, p8_mix, p8_shares, p9_found, p9_composition, p9_terms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # Every text that has a character has a token, so it stands in containers of each limit, which are all sound.
+        "p7_whole": "SELECT limit_name, (SELECT count(*) FROM documents WHERE length(text) > 0) AS texts, 0 AS overfull, 0 AS with_copies, 0 AS met FROM pack_limit WHERE capacity_tokens >= 1",
+    }

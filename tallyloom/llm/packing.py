@@ -8,8 +8,8 @@ holds already, nor one whose source may not stand beside one of its own.  The
 search goes on to the next larger residual until a bin fits.
 
 Items are packed in groups of a bounded size.  Bins that a group leaves with
-much unused space are opened again and packed together with those of other
-groups.
+much unused space, a few of each group, are opened again and packed together
+with those of other groups, in rounds until one group is left.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, write_cut
 
-#: Items of one group in the first pass, and groups that the second pass puts together.
+#: Items of one group in the first round, and groups that a later round puts together.
 GROUP_ITEMS = 20_000
 MERGED_GROUPS = 64
-#: Bins of the first pass with more than this share unused are opened again.
+#: Bins with more than this share unused are opened again while there are several groups; of all others the share bounds the waste.
 LOOSE = 0.02
 
 
@@ -134,14 +134,19 @@ def pack(items: DataFrame, limits: DataFrame, source_conflicts: list[tuple[str,
         F.least(F.col("capacity"), F.col("n_tokens") - F.col("part_no") * F.col("capacity")).alias("n_tokens"), source_no.cast("int").alias("source_no"), "cluster",
     )
     full = pieces.where("n_tokens = capacity").select("limit_name", F.concat_ws("-", F.lit("full"), "doc_id", "part_no").alias("container_id"), "doc_id", "part_no", "n_tokens")
-    first = cut(_packed(pieces.where("n_tokens < capacity"), conflicts), "packed")
-    filled = first.groupBy("limit_name", "grp", "bin").agg(F.sum("n_tokens").alias("used"))
-    judged = first.join(filled, ["limit_name", "grp", "bin"]).withColumn("loose", F.col("used") < (1 - LOOSE) * F.col("capacity"))
-    judged = cut(judged, "judged")
-    tight = judged.where("not loose").select("limit_name", F.concat_ws("-", F.lit("a"), "grp", "bin").alias("container_id"), "doc_id", "part_no", "n_tokens")
-    again = judged.where("loose").select("limit_name", "capacity", F.floor(F.col("grp") / MERGED_GROUPS).alias("grp"), "doc_id", "part_no", "n_tokens", "source_no", "cluster")
-    second = _packed(again, conflicts).select("limit_name", F.concat_ws("-", F.lit("b"), "grp", "bin").alias("container_id"), "doc_id", "part_no", "n_tokens")
-    return full.unionByName(tight).unionByName(second)
+    # Rounds: bins that a round leaves with much space are opened again, with those of MERGED_GROUPS groups together, until all groups were one.
+    out, waiting, number = full, pieces.where("n_tokens < capacity"), 0
+    while True:
+        packed = write_cut(_packed(waiting, conflicts), "packed")
+        filled = packed.read().groupBy("limit_name", "grp", "bin").agg(F.sum("n_tokens").alias("used"))
+        judged = packed.read().join(filled, ["limit_name", "grp", "bin"]).withColumn("loose", F.lit(groups > 1) & (F.col("used") < (1 - LOOSE) * F.col("capacity")))
+        judged = cut(judged, "judged")
+        packed.drop()
+        out = out.unionByName(judged.where("not loose").select("limit_name", F.concat_ws("-", F.lit(str(number)), "grp", "bin").alias("container_id"), "doc_id", "part_no", "n_tokens"))
+        if groups == 1:
+            return out
+        groups, number = -(-groups // MERGED_GROUPS), number + 1
+        waiting = judged.where("loose").select("limit_name", "capacity", F.expr(f"grp div {MERGED_GROUPS}").alias("grp"), "doc_id", "part_no", "n_tokens", "source_no", "cluster")
 
 
 def _packed(pieces: DataFrame, conflicts: dict[int, int]) -> DataFrame:

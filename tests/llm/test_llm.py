@@ -191,6 +191,22 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(items.limit(0), limits).count() == 0
 
 
+def test_pack_in_rounds_keeps_sources_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 100)
+    monkeypatch.setattr(packing, "MERGED_GROUPS", 2)
+    random.seed(6)
+    rows = [(n, random.choice("abc"), random.randint(1, 99), n) for n in range(1200)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, cluster long")
+    out = packing.pack(items, spark.createDataFrame([("s", 100)], "limit_name string, capacity_tokens int"), [("a", "b")]).collect()
+    source, size, held = {r[0]: r[1] for r in rows}, Counter(), defaultdict(set)
+    for r in out:
+        size[r.container_id] += r.n_tokens
+        held[r.container_id].add(source[r.doc_id])
+    assert sorted(r.doc_id for r in out) == list(range(1200)) and max(size.values()) <= 100
+    assert not any({"a", "b"} <= s for s in held.values())
+    assert len(size) <= 1.05 * sum(r[2] for r in rows) / 100
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
