@@ -24,19 +24,23 @@ def _round(edges: DataFrame, number: int) -> DataFrame:
     """One contraction: the rows of ``edges`` with ``gone`` set for those that it removes.
 
     edges: id, parent (null for a root), between (ids from below parent down to above id).
+    A node with one child is spliced out if its number of this round is
+    smaller than that of its parent and of its child.  Only ids are joined
+    with ids, never children with their parent, so a node with very many
+    children weighs no more than any other.
     """
-    children = edges.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("k")).agg(F.count("*").alias("n"))
-    counted = edges.join(children, edges.id == children.k, "left").select("id", "parent", "between", F.coalesce("n", F.lit(0)).alias("n"))
-    coin = lambda c: (F.xxhash64(F.col(c), F.lit(number)) % 2) == 0
-    spliced = (F.col("n") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & coin("id") & ~coin("parent")
+    children = edges.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("only"))
+    counted = edges.join(children, edges.id == children.k, "left").select("id", "parent", "between", F.coalesce("n", F.lit(0)).alias("n"), "only")
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(number))
+    spliced = (F.col("n") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & (rank("id") < rank("parent")) & (rank("id") < rank("only"))
     counted = counted.withColumn("spliced", F.coalesce(spliced, F.lit(False)))
-    over = counted.where("spliced").select(F.col("id").alias("k"), F.col("parent").alias("k_parent"), F.col("between").alias("k_between"))
-    moved = counted.join(over, counted.parent == over.k, "left")
+    over = counted.where("spliced").select(F.col("only").alias("k"), F.col("id").alias("k_id"), F.col("parent").alias("k_parent"), F.col("between").alias("k_between"))
+    moved = counted.join(over, counted.id == over.k, "left")
     jumped = F.col("k").isNotNull()
     return moved.select(
         "id",
         F.when(jumped, F.col("k_parent")).otherwise(F.col("parent")).alias("parent"),
-        F.when(jumped, F.concat("k_between", F.array("k"), "between")).otherwise(F.col("between")).alias("between"),
+        F.when(jumped, F.concat("k_between", F.array("k_id"), "between")).otherwise(F.col("between")).alias("between"),
         (F.col("spliced") | (F.col("n") == 0)).alias("gone"),
     )
 

@@ -1,10 +1,10 @@
 """References to records that do not exist, were deleted or came in later.
 
-Keys are hashed and the hash space is cut into ranges of about equal load,
-taken from a histogram of all rows.  Each range's parents become sorted
-arrays; batches of references probe them by binary search.  A range in which
-one key is referred to by very many rows is probed by several tasks, each with
-a copy of that range's parents.
+Keys are hashed and the hash space is cut into ranges of equal width, as many
+as the rows need.  Each range's parents become sorted arrays; batches of
+references probe them by binary search.  A range in which one key is referred
+to by very many rows is probed by several tasks, each with a copy of that
+range's parents.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import has_text, utc_month
+from tallyloom.session import cut
 
-#: References and parents that one task probes at most, but for parents of one hash.
+#: References and parents that one range holds about; the number of ranges follows the data.
 ROWS_PER_SLOT = 200_000
-#: The histogram over the hash space has two to the power of this many bins.
-BIN_BITS = 14
+#: Busy ranges up to this number are sent to all tasks, more are joined by shuffle.
+BROADCAST_RANGES = 500_000
 
 
 def composite_key(*parts: str) -> Column:
@@ -31,39 +32,15 @@ def composite_key(*parts: str) -> Column:
     return F.concat(*head, F.col(parts[-1]).cast("string"))
 
 
-def _bin(h: Column) -> Column:
-    return F.shiftright(h, 64 - BIN_BITS) + F.lit(1 << (BIN_BITS - 1))
+def _range(h: Column, bits: int) -> Column:
+    """The range of the hash space that a hash lies in, of 2^bits ranges of equal width."""
+    return F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _slots(parents: DataFrame, refs: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(first bin, last bin, first slot, tasks) of each range, from a histogram of at most 2^BIN_BITS rows."""
-    a = parents.groupBy(_bin(F.col("h")).alias("bin")).agg(F.count("*").alias("p"), F.lit(0).cast("long").alias("r"))
-    b = refs.groupBy(_bin(F.col("h")).alias("bin")).agg(F.lit(0).cast("long").alias("p"), F.count("*").alias("r"))
-    rows = a.unionByName(b).groupBy("bin").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).orderBy("bin").collect()
-    out: list[tuple[int, int, int, int]] = []
-    first, p, r, slot, last = 0, 0, 0, 0, -1
-
-    def close():
-        nonlocal slot, p, r, first
-        tasks = max(1, -(-r // ROWS_PER_SLOT))
-        out.append((first, last, slot, tasks))
-        slot, p, r, first = slot + tasks, 0, 0, last + 1
-
-    for row in rows:
-        if p + r and p + r + row.p + row.r > ROWS_PER_SLOT:
-            close()
-        p, r, last = p + row.p, r + row.r, row.bin
-    last = (1 << BIN_BITS) - 1
-    close()
-    return out
-
-
-def _spread_numbers(spark, n: int) -> list[int]:
-    """``n`` numbers that hash partitioning puts into ``n`` different partitions, as far as a search of 16 n numbers finds them."""
-    part = F.pmod(F.hash("id"), F.lit(n))
-    found = {r.p: r.id for r in spark.range(16 * n).groupBy(part.alias("p")).agg(F.min("id").alias("id")).collect()}  # n rows
-    spare = iter(k for k in range(16 * n) if k not in set(found.values()))
-    return [found[p] if p in found else next(spare) for p in range(n)]
+def _busy_ranges(refs: DataFrame, bits: int) -> DataFrame:
+    """The ranges that more references fall into than one task probes: range, tasks."""
+    tasks = F.ceil(F.col("r") / ROWS_PER_SLOT).cast("int")
+    return refs.groupBy(_range(F.col("h"), bits).alias("range")).agg(F.count("*").alias("r")).select("range", tasks.alias("tasks")).where("tasks > 1")
 
 
 def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -82,22 +59,18 @@ def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         F.min(F.unix_micros("seen_at")).alias("seen"), F.min(F.unix_micros("deleted_at")).alias("gone")
     ).withColumn("h", F.xxhash64("key"))
     asked = refs.withColumn("h", F.xxhash64("key")).withColumn("at", F.unix_micros("at"))
-    ranges = _slots(keyed, asked)
-    spark = refs.sparkSession
-    # The ranges as an expression on the bin: an array looked up by position.
-    first_slot = np.zeros(1 << BIN_BITS, np.int64)
-    tasks = np.ones(1 << BIN_BITS, np.int64)
-    for a, b, slot, n in ranges:
-        first_slot[a : b + 1], tasks[a : b + 1] = slot, n
-    table = spark.createDataFrame(pa.table({"bin": np.arange(1 << BIN_BITS, dtype=np.int64), "slot0": first_slot, "tasks": tasks}))
-    table = F.broadcast(table)  # 2^BIN_BITS rows
-    asked = asked.withColumn("bin", _bin(F.col("h"))).join(table, "bin")
-    # Numbered so that no two slots fall into one partition.
-    n = max(1, sum(x[3] for x in ranges))
-    spread = F.broadcast(spark.createDataFrame(pa.table({"nth": np.arange(n, dtype=np.int64), "slot": np.array(_spread_numbers(spark, n), np.int64)})))  # one row for each task
-    asked = asked.withColumn("nth", F.col("slot0") + F.pmod(F.monotonically_increasing_id(), F.col("tasks"))).join(spread, "nth").drop("bin", "slot0", "tasks", "nth")
-    stored = keyed.withColumn("bin", _bin(F.col("h"))).join(table, "bin")
-    stored = stored.withColumn("nth", F.explode(F.sequence(F.col("slot0"), F.col("slot0") + F.col("tasks") - 1))).join(spread, "nth").select((F.col("slot") + 0).alias("slot"), "h", "key", "seen", "gone")
+    # Different keys spread evenly over the hash space, so ranges of equal width hold about as many parents each;
+    # a range with a key that very many rows refer to is probed by several tasks, each with that range's parents.
+    rows = keyed.count() + asked.count()
+    n = max(1, -(-rows // ROWS_PER_SLOT))
+    bits = (n - 1).bit_length()
+    busy = cut(_busy_ranges(asked, bits), "busy")
+    small = busy.count() <= BROADCAST_RANGES
+    split = F.broadcast(busy) if small else busy
+    tasks = F.coalesce("tasks", F.lit(1))
+    asked = asked.withColumn("range", _range(F.col("h"), bits)).join(split, "range", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), tasks).cast("int")).drop("tasks")
+    stored = keyed.withColumn("range", _range(F.col("h"), bits)).join(split, "range", "left")
+    stored = stored.select("range", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"), "h", "key", "seen", "gone")
     names = ["key", "at", *payload]
     types = {f.name: f.dataType.simpleString() for f in asked.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in payload) + ", at bigint, state string"
@@ -113,10 +86,10 @@ def failing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         part = left.select([*payload, "at"]).take(pa.array(rows))
         return part.append_column("state", text)
 
-    # One slot to a partition: the number of slots follows the data.
-    probes = asked.select("slot", "h", *names).repartition(n, "slot")
-    held = stored.repartition(n, "slot")
-    out = probes.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(probe, schema)
+    # The number of tasks follows the data.
+    probes = asked.select("range", "part", "h", *names).repartition(n, "range", "part")
+    held = stored.repartition(n, "range", "part")
+    out = probes.groupBy("range", "part").cogroup(held.groupBy("range", "part")).applyInArrow(probe, schema)
     return out.withColumn("at", F.timestamp_micros("at"))
 
 

@@ -36,8 +36,10 @@ MONTH_NAMES = {m: i for i, m in enumerate("january february march april may june
 #: Halves of the day.
 HALVES = {"am": 0, "a.m.": 0, "上午": 0, "pm": 12, "p.m.": 12, "下午": 12}
 
-#: Zones are resolved beyond the last written transition up to this year.
+#: Up to this year the tables hold every change; the years from it on are read as years before it with the same calendar.
 HORIZON_YEAR = 2100
+#: A bare number counts in the unit that puts it into this year.
+NUMBER_YEAR = 2026
 NO_ZONE = -1
 NONE = np.iinfo(np.int64).min
 #: Rows that a task converts at once.
@@ -108,12 +110,15 @@ def _offset(zone: zoneinfo.ZoneInfo, at: int) -> int:
     return int(moment.utcoffset().total_seconds())
 
 
+_YEAR_ONE = -62_135_510_400
+
+
 @lru_cache(maxsize=None)
 def _zone_table(name: str, until: int = HORIZON_YEAR) -> tuple[np.ndarray, np.ndarray]:
     """Change instants and the offsets before the first, and after each, change."""
     zone = zoneinfo.ZoneInfo(name)
-    low = -2_200_000_000
-    written = [t for t in _written_transitions(name) if t > low]
+    written = [t for t in _written_transitions(name) if t > _YEAR_ONE]
+    low = min([0, *written]) - 1
     first = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
     last = int(dt.datetime(until, 1, 1, tzinfo=dt.timezone.utc).timestamp())
     at = max([first, *written]) + 1
@@ -187,6 +192,15 @@ class Zones:
     def to_utc(self, local: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Instants of local seconds, and which of them the zone's clocks showed exactly once."""
         out, good = np.zeros_like(local), np.zeros(len(local), bool)
+        if len(local) and local.max() >= _HORIZON:
+            # The rules that a zone's file states for ever depend on a year's calendar only.
+            far = np.flatnonzero(local >= _HORIZON)
+            shift = _same_calendar(local[far])
+            near = local.copy()
+            near[far] -= shift
+            out, good = self.to_utc(near, zone)
+            out[far] += shift
+            return out, good
         for z in np.unique(zone):
             if z == NO_ZONE:
                 continue
@@ -204,6 +218,18 @@ class Zones:
 
 
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+_HORIZON = int(dt.datetime(HORIZON_YEAR - 1, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+
+
+def _same_calendar(local: np.ndarray) -> np.ndarray:
+    """Seconds from a year with the same calendar before the horizon to the year of each local time."""
+    year = (local // 86_400).astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+    begin = lambda y: (np.asarray(y) - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+    kinds = lambda y: (begin(y) + 4) % 7 * 2 + (begin(np.asarray(y) + 1) - begin(y) == 366)
+    known = np.arange(HORIZON_YEAR - 40, HORIZON_YEAR - 2)
+    of_kind = np.zeros(14, np.int64)
+    of_kind[kinds(known)] = known
+    return (begin(year) - begin(of_kind[kinds(year)])) * 86_400
 
 
 @lru_cache(maxsize=1)
@@ -241,10 +267,10 @@ class MaskParser:
         a, b = self.spans[field]
         return np.ascontiguousarray(codes[:, a:b]).view(f"U{b - a}").ravel()
 
-    def parse(self, codes: np.ndarray, row_zone: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
+    def parse(self, codes: np.ndarray, row_zone: np.ndarray, zones: Zones, number_year: int = NUMBER_YEAR) -> tuple[np.ndarray, np.ndarray]:
         """Microseconds since 1970 and which rows denote one instant."""
         if "n" in self.spans:
-            return self._number(codes)
+            return self._number(codes, number_year)
         n, good = len(codes), np.ones(len(codes), bool)
         year, day = self.number(codes, "y"), self.number(codes, "d", 1)
         if "j" in self.spans:
@@ -288,13 +314,13 @@ class MaskParser:
 
         return _mapped(self.texts(codes, "b"), month)
 
-    def _number(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _number(self, codes: np.ndarray, number_year: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.spans["n"]
         whole = np.zeros(len(codes), np.uint64)
         for k in range(a, b):
             whole = whole * np.uint64(10) + (codes[:, k] - 48).astype(np.uint64)
         out, good = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-        begin, end = _YEAR_2026
+        begin, end = (int(dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc).timestamp()) for y in (number_year, number_year + 1))
         for unit in (1, 1_000, 1_000_000, 1_000_000_000):
             hit = (whole >= np.uint64(begin * unit)) & (whole < np.uint64(end * unit))
             if not hit.any():
@@ -308,7 +334,6 @@ class MaskParser:
         return out, good
 
 
-_YEAR_2026 = (1_767_225_600, 1_798_761_600)
 _NOT_A_TAIL = -2
 
 
@@ -367,7 +392,7 @@ def folded(value: Column) -> Column:
     return F.translate(F.btrim(value, F.lit(BLANKS)), FOLD_FROM, FOLD_TO)
 
 
-def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
+def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zones, number_year: int = NUMBER_YEAR) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds of each value, ``NONE`` where it denotes no single instant, and the unit each is written to."""
     out, units = np.full(len(values), NONE, np.int64), np.ones(len(values), np.int64)
     coded = masks.dictionary_encode()
@@ -382,23 +407,28 @@ def instants(values: list[str], masks: pa.Array, row_zone: np.ndarray, zones: Zo
             continue
         text = np.array([values[i] for i in rows], f"U{len(mask)}")
         matrix = text.view(np.uint32).reshape(len(rows), len(mask))
-        micro, good = parser.parse(matrix, row_zone[rows], zones)
+        micro, good = parser.parse(matrix, row_zone[rows], zones, number_year)
         out[rows[good]] = micro[good]
         units[rows] = parser.unit
     return out, units
 
 
-def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str], out: str = "utc_us", unit: str | None = None) -> DataFrame:
+def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str], out: str = "utc_us", unit: str | None = None, number_year: int = NUMBER_YEAR, tzdb: str | None = None) -> DataFrame:
     """One row for each row of ``df`` whose ``value`` denotes exactly one instant.
 
     Returns the ``keep`` columns and ``out`` (long, microseconds since 1970 in
     UTC, finer digits dropped).  ``zone`` names the column with the zone beside
     the value, or is ``None``.  ``unit`` adds a column of that name: the
-    microseconds of the finest part that the value writes.  Nulls, empty texts, words, times that do not
+    microseconds of the finest part that the value writes.  Bare numbers count
+    in the unit that puts them into ``number_year``.  ``tzdb`` is the version
+    of the tz database that the result must rest on (see ``tzdb_version``);
+    with any other one at hand this is an error.  Nulls, empty texts, words, times that do not
     exist, local times shown twice or never and values without any zone give no
     row; repeated rows give repeated results.  Any other column of ``df`` is
     left out before the data leaves the JVM.
     """
+    if tzdb is not None and tzdb != all_zones().version:
+        raise ValueError(f"the tz database here is version {all_zones().version}, not {tzdb}")
     v, z, m = (fresh_name([*keep, out, *([unit] if unit else [])], n) for n in ("value", "zone", "mask"))
     text = folded(F.col(value).cast("string"))
     source = df.where(F.col(value).isNotNull()).select(
@@ -427,7 +457,7 @@ def normalise_times(df: DataFrame, value: str, zone: str | None, keep: list[str]
         named = table.column(z).combine_chunks().dictionary_encode()
         ids = np.array([zones.resolve(t) for t in named.dictionary.to_pylist()] + [NO_ZONE], np.int64)
         row_zone = ids[named.indices.fill_null(len(ids) - 1).to_numpy(zero_copy_only=False)]
-        micro, units = instants(table.column(v).to_pylist(), table.column(m).combine_chunks(), row_zone, zones)
+        micro, units = instants(table.column(v).to_pylist(), table.column(m).combine_chunks(), row_zone, zones, number_year)
         good = pa.array(micro != NONE)
         result = table.select(keep).append_column(out, pa.array(micro))
         if unit:

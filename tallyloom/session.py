@@ -72,13 +72,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Where the setting is absent, a local session gets a folder of this process,
     removed at its end; a cluster a folder beside the tables of its warehouse,
-    which all its executors reach.
+    which all its executors reach.  A warehouse that lies on each machine's own
+    disk is no such place: then the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyloom-cuts"
+        shared = spark.conf.get("spark.sql.warehouse.dir", "").rstrip("/")
+        if ":" not in shared or shared.startswith("file:"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        return shared + "/tallyloom-cuts"
     global _own_root
     if _own_root is None or not os.path.isdir(_own_root):
         _own_root = tempfile.mkdtemp(prefix="tallyloom-")

@@ -84,6 +84,22 @@ def test_zone_tables(name):
         assert not ok or fits == {int(at)}
 
 
+def test_far_years_and_versions(spark):
+    """Before the first and beyond the last written change, the zone's own rules hold."""
+    rows = [("1890-06-01 12:00:00", "Europe/Berlin"), ("1850-01-01 00:00:00", "America/New_York"), ("2150-07-01 12:00:00", "America/New_York"), ("2150-01-01 12:00:00", "America/New_York"), ("9999-12-31 23:59:59", "Europe/London"), ("2200-03-09 02:30:00", "America/New_York")]
+    df = spark.createDataFrame([(i, v, z) for i, (v, z) in enumerate(rows)], "row_id long, v string, z string")
+    got = {r.row_id: r.utc_us for r in timestamps.normalise_times(df, "v", "z", ["row_id"], tzdb=timestamps.tzdb_version()).collect()}
+    want = {}
+    for i, (v, z) in enumerate(rows[:5]):
+        at = dt.datetime.fromisoformat(v).replace(tzinfo=zoneinfo.ZoneInfo(z))
+        want[i] = round((at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)).total_seconds()) * US
+    assert got == want  # the clocks jump over half past two on the second Sunday of March 2200
+    with pytest.raises(ValueError):
+        timestamps.normalise_times(df, "v", "z", ["row_id"], tzdb="1999a")
+    numbers = spark.createDataFrame([(1, "1767658913"), (2, "631200000")], "row_id long, v string")
+    assert [r.row_id for r in timestamps.normalise_times(numbers, "v", None, ["row_id"]).collect()] == [1]
+
+
 # --- references ------------------------------------------------------------------
 
 
@@ -124,8 +140,7 @@ def test_hot_reference_is_spread(spark, monkeypatch):
     monkeypatch.setattr(references, "ROWS_PER_SLOT", 50)
     refs = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.lit("2026-01-02").cast("timestamp").alias("at"), "id")
     parents = spark.range(800, 1000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("2026-01-01").cast("timestamp").alias("seen_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    slots = references._slots(parents.groupBy("key").count().withColumn("h", F.xxhash64("key")), refs.withColumn("h", F.xxhash64("key")))
-    assert max(s[3] for s in slots) >= 14
+    assert max(r.tasks for r in references._busy_ranges(refs.withColumn("h", F.xxhash64("key")), 5).collect()) >= 14
     got = references.failing_references(refs, parents)
     assert got.count() == 800 and {r.state for r in got.select("state").distinct().collect()} == {"missing"}
 
@@ -161,6 +176,14 @@ def test_hierarchy(spark, seed):
     assert got == walk(parents)
 
 
+def test_a_star_of_very_many_children(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("hub").alias("parent")).unionByName(spark.createDataFrame([("hub", "top"), ("top", None)], "id string, parent string"))
+    found = hierarchy.hierarchy(rows, "id", "parent")
+    assert [tuple(r) for r in found.groupBy("node_depth").count().orderBy("node_depth").collect()] == [(0, 1), (1, 1), (2, n)]
+    assert found.where("root_id <> 'top'").count() == 0
+
+
 def test_hierarchy_edges(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert hierarchy.hierarchy(empty, "id", "parent").count() == 0

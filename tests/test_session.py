@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from tallyloom import session
 
 
@@ -26,5 +28,7 @@ def test_where_cuts_are_written():
     setting = {"spark.checkpoint.dir": "hdfs:///shared/"}
     assert session.checkpoint_root(Fake("local[2]", **setting)) == session.checkpoint_root(Fake("spark://m:7077", **setting)) == "hdfs:///shared"
     assert session.checkpoint_root(Fake("yarn", **{"spark.sql.warehouse.dir": "hdfs:///w"})) == "hdfs:///w/tallyloom-cuts"
-    assert session.checkpoint_root(Fake("local-cluster[2,1,1024]", **{"spark.sql.warehouse.dir": "file:/w/"})) == "file:/w/tallyloom-cuts"
+    for own in ("file:/w/", "/w", ""):
+        with pytest.raises(ValueError):
+            session.checkpoint_root(Fake("local-cluster[2,1,1024]", **{"spark.sql.warehouse.dir": own}))
     assert session.checkpoint_root(Fake("local[*]")).startswith("file:///")
