@@ -37,7 +37,7 @@ def numbered_from(df: DataFrame, by: list[str], order: list[str], count: str) ->
 
 
 def media_documents(manifest: DataFrame, cues: DataFrame) -> DataFrame:
-    """A Markdown document for each media with a transcript: media_id, text.
+    """A Markdown document for each media: media_id, text; without a transcript it is the head alone.
 
     ``manifest``: media_id, title, author.  Repeated rows count once, the
     smallest title first; of several tracks the best one is taken.
@@ -47,4 +47,5 @@ def media_documents(manifest: DataFrame, cues: DataFrame) -> DataFrame:
     spoken = media.transcripts(cues.where("cue_text is not null")).join(best, ["media_id", "track_no"])
     one = manifest.where("media_id is not null").groupBy("media_id").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"))).alias("m"))
     head = F.concat(F.lit("# "), escaped(F.col("m.title")), F.when(F.col("m.author") != "", F.concat(F.lit("\n\n"), F.col("m.author"))).otherwise(F.lit("")))
-    return one.join(spoken, "media_id").select("media_id", F.concat(head, F.lit("\n\n"), F.col("transcript")).alias("text"))
+    body = F.when(F.col("transcript").isNotNull(), F.concat(F.lit("\n\n"), F.col("transcript"))).otherwise(F.lit(""))
+    return one.join(spoken, "media_id", "left").select("media_id", F.concat(head, body).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,11 +26,27 @@ def scan_facts(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def lines_of(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 1), line, and offset: where the line begins, in characters."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.split(text, "\n").alias("lines"))
-    offsets = F.expr("transform(sequence(1, size(lines)), k -> aggregate(slice(lines, 1, k - 1), 0, (a, x) -> a + length(x) + 1))")
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), offsets.alias("offset"))).alias("k", "z"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("line_no"), F.col("z.line").alias("line"), F.col("z.offset").alias("offset"))
+    """doc_id, line_no (from 1) and line of every line of every text."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("k", "line"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("line_no"), "line")
+
+
+def line_offsets(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc_id, line_no (from 1), offset (where the line begins) and length, in characters; one pass over each text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            sizes = [np.fromiter(map(len, t.split("\n")), np.int64) for t in texts]
+            count = np.array([len(x) for x in sizes], np.int64)
+            offsets = [np.cumsum(x + 1) - x - 1 for x in sizes]
+            joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32))
+            docs = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(texts)), count)))
+            yield pa.RecordBatch.from_arrays([docs, joined([np.arange(1, n + 1) for n in count]), joined(offsets), joined(sizes)], names=["doc_id", "line_no", "offset", "length"])
+
+    source = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, offset int, length int")
 
 
 def sections(facts: DataFrame) -> DataFrame:
@@ -113,10 +130,21 @@ def packed_lines(df: DataFrame, doc: str, text: str, limit: int) -> DataFrame:
     doc_id, chunk (from 1), first_line, last_line, characters (line ends
     between the lines included).
     """
-    pack = f"""aggregate(split(`{text}`, '\\n'), array(named_struct('a', 1, 'b', 0, 'n', 0)),
-      (acc, x) -> CASE WHEN element_at(acc, -1).b = 0 OR element_at(acc, -1).n + 1 + length(x) <= {limit}
-        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', element_at(acc, -1).b + 1 + IF(element_at(acc, -1).b = 0, element_at(acc, -1).a - 1, 0),
-          'n', element_at(acc, -1).n + length(x) + IF(element_at(acc, -1).b = 0, 0, 1))))
-        ELSE concat(acc, array(named_struct('a', element_at(acc, -1).b + 1, 'b', element_at(acc, -1).b + 1, 'n', length(x)))) END)"""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(F.expr(pack)).alias("k", "c"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("chunk"), F.col("c.a").alias("first_line"), F.col("c.b").alias("last_line"), F.col("c.n").alias("characters"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                chunk, first, size = 1, 1, -1
+                for no, line in enumerate(t.split("\n"), 1):
+                    if size >= 0 and size + 1 + len(line) > limit:
+                        rows.append((d, chunk, first, no - 1, size))
+                        chunk, first, size = chunk + 1, no, -1
+                    size += 1 + len(line)
+                rows.append((d, chunk, first, no, size))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.column("doc_id").type, *[pa.int32()] * 4])], names=["doc_id", "chunk", "first_line", "last_line", "characters"])
+
+    source = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, chunk int, first_line int, last_line int, characters int")

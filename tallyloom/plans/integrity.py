@@ -77,7 +77,7 @@ def code_tokens(spark, sf_dir):
 
 
 def headings_demoted(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").where("text like '%#%'")
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.sha2(integrity.demoted_column("text"), 256).alias("digest"))
 
 
@@ -131,7 +131,7 @@ def anchors_encoded(spark, sf_dir):
     """Anchors as reversible names, and whether they come back."""
     heads = textfacts.slugs(textfacts.scan_facts(read_table(spark, sf_dir, "documents"), "doc_id", "text")).select("anchor").distinct()
     name = F.concat(F.lit("n"), F.lower(F.hex(F.encode("anchor", "UTF-8"))))
-    return heads.select("anchor", name.alias("name")).withColumn("back", F.decode(F.unhex(F.substring("name", 2, 1_000_000)), "UTF-8") == F.col("anchor"))
+    return heads.select("anchor", name.alias("name")).withColumn("back", F.decode(F.unhex(F.expr("substr(name, 2)")), "UTF-8") == F.col("anchor"))
 
 
 def report_mismatches(spark, sf_dir):
@@ -180,7 +180,7 @@ ORACLES = {
     "lines_repeated": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS occurrence FROM l WHERE line <> '') SELECT doc_id, line_no, occurrence FROM r WHERE occurrence > 1",
     "page_medians": "WITH l AS (SELECT image_id, unnest(string_split(ocr_text, chr(10))) AS line FROM image_item WHERE ocr_text IS NOT NULL) SELECT image_id, CAST(median(length(line)) AS DOUBLE) AS median_length, count(*) AS lines FROM l WHERE trim(line) <> '' GROUP BY 1",
     "code_tokens": _LINES + ", c AS (SELECT unnest(regexp_extract_all(line, '-{0,2}[A-Za-z][A-Za-z0-9_]*')) AS token FROM l WHERE NOT f AND before % 2 = 1) SELECT token, count(*) AS n FROM c GROUP BY 1",
-    "headings_demoted": _LINES + ", d AS (SELECT doc_id, string_agg(CASE WHEN NOT f AND before % 2 = 0 AND regexp_matches(line, '^#{1,8}\\s') THEN '#' || line ELSE line END, chr(10) ORDER BY line_no) AS t FROM l GROUP BY 1) SELECT d.doc_id, sha256(t) AS digest FROM d JOIN documents x ON x.doc_id = d.doc_id WHERE x.text LIKE '%#%'",
+    "headings_demoted": _LINES + ", d AS (SELECT doc_id, string_agg(CASE WHEN NOT f AND before % 2 = 0 AND regexp_matches(line, '^#{1,8}\\s') THEN '#' || line ELSE line END, chr(10) ORDER BY line_no) AS t FROM l GROUP BY 1) SELECT d.doc_id, sha256(t) AS digest FROM d",
     "fences_spliced": _LINES + ", c AS (SELECT doc_id, count(*) // 2 AS n FROM l WHERE f GROUP BY 1) SELECT d.doc_id, coalesce(n, 0) AS fences, true AS same FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id WHERE text IS NOT NULL",
     "page_line_kinds": "WITH l AS (SELECT unnest(string_split(ocr_text, chr(10))) AS line FROM image_item WHERE ocr_text IS NOT NULL) SELECT CASE WHEN regexp_matches(line, '^\\s*(第\\s*[0-9]+\\s*[章节]|[0-9]+(\\.[0-9]+)+\\s+\\S|Chapter\\s+[0-9]+)') THEN 'chapter' WHEN regexp_matches(line, '^\\s*(Figure|Fig\\.|Table|图|表)\\s*[0-9]+') THEN 'caption' WHEN regexp_matches(line, '^\\s*(\\[[0-9]{1,3}\\]|[0-9]{1,2}\\))\\s*\\S') THEN 'note' WHEN regexp_matches(line, '[=<>]\\s*[0-9A-Za-z(]') AND regexp_matches(line, '[-+*/^]') THEN 'formula' ELSE 'text' END AS kind, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1",
     "page_ranges": "WITH " + _values("r", [(a, b) for (a,), b in zip(RANGES, ["1 2 3 5", "7", None, None, "4 2", None])], "spec, pages") + " SELECT spec, pages FROM r",

@@ -43,8 +43,10 @@ def transcripts(spark, sf_dir):
 
 
 def cue_clocks(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "subtitle_cue").where("cue_start >= 0 and cue_end >= cue_start")
-    return rows.select("row_id", media.clock(F.col("cue_start")).alias("shown"), F.size(media.frame_positions(F.col("cue_start"), F.col("cue_end"))).alias("frames"))
+    rows = read_table(spark, sf_dir, "subtitle_cue")
+    sound = F.coalesce((F.col("cue_start") >= 0) & (F.col("cue_end") >= F.col("cue_start")), F.lit(False))
+    shown, frames = media.clock(F.col("cue_start")), F.size(media.frame_positions(F.col("cue_start"), F.col("cue_end")))
+    return rows.select("row_id", F.when(sound, shown).alias("shown"), F.when(sound, frames).alias("frames"))
 
 
 def srt_round_trip(spark, sf_dir):
@@ -98,7 +100,7 @@ ORACLES = {
     "track_choice": f"WITH t AS (SELECT media_id, track_no, min(lang) AS lang, min(kind) AS kind FROM subtitle_cue WHERE media_id IS NOT NULL AND track_no IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, CASE WHEN {_LANG} LIKE 'zh%' AND kind = 'manual' THEN 0 WHEN {_LANG} LIKE 'zh%' AND kind = 'auto' THEN 1 WHEN {_LANG} NOT LIKE 'zh%' AND kind = 'manual' THEN 2 WHEN {_LANG} NOT LIKE 'zh%' AND kind = 'auto' THEN 3 ELSE 4 END AS rank FROM t) SELECT media_id, track_no, lang, kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank, track_no) AS k FROM r) WHERE k = 1",
     "track_quality": _QUALITY,
     "transcripts": _CUES + ", t AS (SELECT media_id, track_no, cue_no, row_id, trim(regexp_replace(cue_text, '\\s*\\n\\s*', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM c WHERE cue_text IS NOT NULL) SELECT media_id, track_no, count(*) AS cues, list_reduce(list(t ORDER BY cue_no, row_id), lambda a, x: a || CASE WHEN regexp_matches(a, '[0-9A-Za-z]$') AND regexp_matches(x, '^[0-9A-Za-z]') THEN ' ' ELSE '' END || x) AS transcript FROM t WHERE t <> '' GROUP BY 1, 2",
-    "cue_clocks": "SELECT row_id, printf('%02d:%02d:%02d', CAST(floor(cue_start) AS BIGINT) // 3600, CAST(floor(cue_start) AS BIGINT) // 60 % 60, CAST(floor(cue_start) AS BIGINT) % 60) AS shown, CASE WHEN cue_end - cue_start > 4 THEN 3 ELSE 1 END AS frames FROM subtitle_cue WHERE cue_start >= 0 AND cue_end >= cue_start",
+    "cue_clocks": "SELECT row_id, CASE WHEN ok THEN printf('%02d:%02d:%02d', CAST(floor(cue_start) AS BIGINT) // 3600, CAST(floor(cue_start) AS BIGINT) // 60 % 60, CAST(floor(cue_start) AS BIGINT) % 60) END AS shown, CASE WHEN ok THEN CASE WHEN cue_end - cue_start > 4 THEN 3 ELSE 1 END END AS frames FROM (SELECT *, coalesce(cue_start >= 0 AND cue_end >= cue_start, false) AS ok FROM subtitle_cue)",
     "srt_round_trip": _CUES + " SELECT media_id, track_no, count(*) AS cues, CAST(sum(length(trim(regexp_replace(trim(cue_text), '\\s*\\n\\s*', ' ', 'g')))) AS BIGINT) AS characters, CAST(sum(CAST(round(cue_start * 1000) AS BIGINT)) AS BIGINT) AS starts_ms FROM c WHERE cue_start >= 0 AND cue_end >= 0 AND trim(cue_text) <> '' GROUP BY 1, 2",
     "titles_once": "WITH t AS (SELECT DISTINCT title FROM media_manifest WHERE title IS NOT NULL) SELECT title, title AS once FROM t UNION ALL SELECT title || ' ' || title, CASE WHEN length(title) >= 4 THEN trim(title) ELSE title || ' ' || title END FROM t",
     "cues_corrected": "SELECT row_id, CASE WHEN cue_text <> trim(cue_text) THEN trim(cue_text) ELSE cue_text END AS cue_text, cue_text <> trim(cue_text) AS corrected FROM subtitle_cue WHERE cue_text IS NOT NULL",

@@ -39,5 +39,5 @@ ORACLES = {
     "titles_escaped": f"SELECT DISTINCT title, {_ESC.format('title')} AS escaped FROM media_manifest WHERE title IS NOT NULL",
     "flags_read": "WITH " + _values("f", FLAGS, "word") + " SELECT word, CASE WHEN lower(trim(word)) IN ('1', 'true', 'yes', 'on') THEN true WHEN lower(trim(word)) IN ('0', 'false', 'no', 'off') THEN false END AS flag FROM f",
     "page_starts": "WITH n AS (SELECT media_id, item_index, image_id, CAST(coalesce(len(string_split(ocr_text, chr(10))), 0) AS INTEGER) AS n FROM image_item WHERE media_id IS NOT NULL) SELECT image_id, n, CAST(coalesce(sum(n) OVER (PARTITION BY media_id ORDER BY item_index, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS starts_at FROM n",
-    "media_documents": f"WITH sp AS ({_MEDIA['transcripts']}), b AS (SELECT media_id, track_no FROM ({_MEDIA['track_choice']})), m AS (SELECT media_id, min((coalesce(title, ''), coalesce(author, ''))) AS m FROM media_manifest WHERE media_id IS NOT NULL GROUP BY 1) SELECT m.media_id, '# ' || {_ESC.format('m.m[1]')} || CASE WHEN m.m[2] <> '' THEN chr(10) || chr(10) || m.m[2] ELSE '' END || chr(10) || chr(10) || transcript AS text FROM m JOIN b ON b.media_id = m.media_id JOIN sp ON sp.media_id = b.media_id AND sp.track_no = b.track_no",
+    "media_documents": f"WITH sp AS ({_MEDIA['transcripts']}), b AS (SELECT media_id, track_no FROM ({_MEDIA['track_choice']})), m AS (SELECT media_id, min((coalesce(title, ''), coalesce(author, ''))) AS m FROM media_manifest WHERE media_id IS NOT NULL GROUP BY 1) SELECT m.media_id, '# ' || {_ESC.format('m.m[1]')} || CASE WHEN m.m[2] <> '' THEN chr(10) || chr(10) || m.m[2] ELSE '' END || coalesce(chr(10) || chr(10) || transcript, '') AS text FROM m LEFT JOIN b ON b.media_id = m.media_id LEFT JOIN sp ON sp.media_id = b.media_id AND sp.track_no = b.track_no",
 }

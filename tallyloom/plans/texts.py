@@ -40,12 +40,13 @@ def section_sizes(spark, sf_dir):
 def table_cells(spark, sf_dir):
     """The cells of table rows in long form."""
     rows = _facts(spark, sf_dir).where("kind = 'table'")
-    inner = F.regexp_replace(F.regexp_replace("value", r"^\|", ""), r"\|$", "")
-    return rows.select("doc_id", "line_no", "level", F.posexplode(F.transform(F.split(inner, r"\|", -1), lambda c: F.btrim(c))).alias("col", "cell")).withColumnRenamed("level", "row")
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\|", ""), r"(?<!\\)\|$", "")
+    cells = F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.replace(F.btrim(c), F.lit("\\|"), F.lit("|")))
+    return rows.select("doc_id", "line_no", "level", F.posexplode(cells).alias("col", "cell")).withColumnRenamed("level", "row")
 
 
 def line_offsets(spark, sf_dir):
-    return textfacts.lines_of(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", "line_no", "offset", F.length("line").alias("length"))
+    return textfacts.line_offsets(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def number_tokens(spark, sf_dir):

@@ -201,7 +201,7 @@ def throughput_by_day(spark, sf_dir):
 
 def context_fill(spark, sf_dir):
     """The model last named before each record of a turn."""
-    rows = read_table(spark, sf_dir, "model_usage").where("turn_id is not null").select("row_id", "session_id", "turn_id", "provider_id", "query_source")
+    rows = read_table(spark, sf_dir, "model_usage").select("row_id", "session_id", "turn_id", "provider_id", "query_source")
     return metering.forward_fill(rows, ["session_id", "turn_id"], ["row_id"], ["provider_id", "query_source"], spread=True).select("row_id", "ctx_provider_id", "ctx_query_source")
 
 
@@ -257,8 +257,11 @@ def session_groups(spark, sf_dir):
 
 
 def inherited_copies(spark, sf_dir):
-    usage = read_table(spark, sf_dir, "model_usage").select(F.col("row_id").alias("record_id"), "session_id", F.col("model_id").alias("call_id"))
-    return relations.inherited_copies(usage, _all_links(spark, sf_dir))
+    """Records whose call, known by its request and attempt, a session that this one was forked from has already."""
+    call = F.concat_ws("#", F.lower(F.btrim("logical_request_id")), F.coalesce("attempt_index", F.lit(0)).cast("string"))
+    usage = read_table(spark, sf_dir, "model_usage").select(F.col("row_id").alias("record_id"), "session_id", F.when(F.btrim("logical_request_id") != "", call).alias("call_id"))
+    sessions = read_table(spark, sf_dir, "agent_session")
+    return relations.inherited_copies(usage, sessions.select("id", F.when(F.col("task_type") == "fork", F.col("parent_id")).alias("parent")))
 
 
 def time_presets(spark, sf_dir):
@@ -404,7 +407,7 @@ ORACLES = {
     "latency_by_model": _TIMED + f"SELECT model_id, count(*) AS samples, CAST(sum(first_token_at - started_ms) AS BIGINT) AS total_ms, sum(first_token_at - started_ms) / count(*) AS mean_ms FROM k WHERE ({_LAT}) IS NULL GROUP BY 1",
     "throughput_outcomes": _RECORDS + f"SELECT coalesce({_THR}, 'sample') AS outcome, count(*) AS n FROM k GROUP BY 1",
     "throughput_by_day": _RECORDS + f"SELECT strftime(make_timestamp((completed_at + 28800000) * 1000), '%Y-%m-%d') AS day, count(*) AS samples, CAST(sum(ov) AS BIGINT) AS output, CAST(sum(completed_at - first_token_at) AS BIGINT) AS interval_ms, sum(ov) * 1000 / sum(completed_at - first_token_at) AS per_second FROM k WHERE ({_THR}) IS NULL GROUP BY 1",
-    "context_fill": "SELECT row_id, last_value(provider_id IGNORE NULLS) OVER w AS ctx_provider_id, last_value(query_source IGNORE NULLS) OVER w AS ctx_query_source FROM model_usage WHERE turn_id IS NOT NULL WINDOW w AS (PARTITION BY session_id, turn_id ORDER BY row_id ROWS UNBOUNDED PRECEDING)",
+    "context_fill": "SELECT row_id, last_value(provider_id IGNORE NULLS) OVER w AS ctx_provider_id, last_value(query_source IGNORE NULLS) OVER w AS ctx_query_source FROM model_usage WINDOW w AS (PARTITION BY session_id, turn_id ORDER BY row_id ROWS UNBOUNDED PRECEDING)",
     "context_reset": "SELECT event_id, (last_value(CASE WHEN event_type = 'signup' THEN {'p': props} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)).p AS ctx_props FROM events",
     "counter_differences": """WITH x AS (SELECT event_id, user_id, CAST(CAST(props AS JSON)->>'$.k' AS BIGINT) AS k FROM events), y AS (SELECT *, lag(k) OVER w AS b, row_number() OVER w = 1 AS f FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
       z AS (SELECT *, CASE WHEN f AND k > 0 THEN 'no baseline' WHEN k < b THEN 'reset' END AS issue FROM y) SELECT event_id, CASE WHEN issue IS NULL THEN CASE WHEN f THEN k ELSE k - b END END AS delta_k, issue FROM z""",
@@ -415,9 +418,9 @@ ORACLES = {
       SELECT *, CASE WHEN starts > 1 OR completions > 1 THEN 'conflict' WHEN started IS NULL THEN 'start missing' WHEN completed IS NULL THEN 'running' WHEN completed < started THEN 'conflict' ELSE 'complete' END AS state FROM g""",
     "owner_walk": _LINKS + "SELECT id AS node_id, root_id AS owner_id, hops, CASE WHEN hops = 0 THEN 'root' ELSE 'owned' END AS state FROM down UNION ALL SELECT id, NULL, NULL, 'cycle' FROM e WHERE id NOT IN (SELECT id FROM down)",
     "family_closure": _LINKS + "SELECT root_id, id AS node_id FROM down",
-    "inherited_copies": _LINKS + """, pairs AS (SELECT id AS node_id, p AS anc FROM e WHERE p IS NOT NULL AND id IN (SELECT id FROM down) UNION ALL SELECT node_id, e.p FROM pairs JOIN e ON e.id = anc WHERE e.p IS NOT NULL),
-      calls AS (SELECT DISTINCT session_id, model_id FROM model_usage WHERE model_id IS NOT NULL)
-      SELECT DISTINCT m.row_id AS record_id FROM model_usage m JOIN pairs ON pairs.node_id = m.session_id JOIN calls c ON c.session_id = anc AND c.model_id = m.model_id""",
+    "inherited_copies": _LINKS.replace("min(parent_id)", "min(CASE WHEN task_type = 'fork' THEN parent_id END)") + """, pairs AS (SELECT id AS node_id, p AS anc FROM e WHERE p IS NOT NULL AND id IN (SELECT id FROM down) UNION ALL SELECT node_id, e.p FROM pairs JOIN e ON e.id = anc WHERE e.p IS NOT NULL),
+      m AS (SELECT row_id, session_id, lower(trim(logical_request_id)) || '#' || coalesce(attempt_index, 0) AS c FROM model_usage WHERE trim(logical_request_id) <> ''), calls AS (SELECT DISTINCT session_id, c FROM m)
+      SELECT DISTINCT m.row_id AS record_id FROM m JOIN pairs ON pairs.node_id = m.session_id JOIN calls k ON k.session_id = anc AND k.c = m.c""",
     "time_presets": """WITH q AS (SELECT row_id, TRY_CAST(upto AS TIMESTAMPTZ) AS c FROM saved_query), x AS (SELECT row_id, c, unnest(['today', 'week', 'month', 'last_1d', 'last_7d', 'all']) AS preset FROM q WHERE c IS NOT NULL)
       SELECT row_id, preset, CASE preset WHEN 'today' THEN timezone('America/New_York', date_trunc('day', timezone('America/New_York', c))) WHEN 'week' THEN timezone('America/New_York', date_trunc('week', timezone('America/New_York', c)))
         WHEN 'month' THEN timezone('America/New_York', date_trunc('month', timezone('America/New_York', c))) WHEN 'last_1d' THEN c - INTERVAL 24 HOUR WHEN 'last_7d' THEN c - INTERVAL 168 HOUR END AS since FROM x""",

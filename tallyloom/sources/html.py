@@ -132,7 +132,7 @@ class _Tables(HTMLParser):
         attrs = dict(attrs)
         if tag == "table":
             self.tables += 1
-            self.stack.append({"no": self.tables, "row": -1, "taken": set(), "cell": None, "cells": 0})
+            self.stack.append({"no": self.tables, "row": -1, "taken": [], "cell": None, "cells": 0})
         elif self.stack and tag == "tr":
             self._close()
             self.stack[-1]["row"] += 1
@@ -140,11 +140,13 @@ class _Tables(HTMLParser):
             self._close()
             table = self.stack[-1]
             table["row"] = max(table["row"], 0)
-            rows, cols = (max(1, min(1000, int(attrs[k]))) if (attrs.get(k) or "").strip().isdigit() else 1 for k in ("rowspan", "colspan"))
+            rows, cols = (max(1, int(attrs[k])) if (attrs.get(k) or "").strip().isdigit() else 1 for k in ("rowspan", "colspan"))
             col = 0
-            while (table["row"], col) in table["taken"]:
-                col += 1
-            table["taken"] |= {(table["row"] + r, col + c) for r in range(rows) for c in range(cols)}
+            below = [(left, right) for top, bottom, left, right in table["taken"] if top <= table["row"] < bottom]
+            while over := [right for left, right in below if left <= col < right]:
+                col = max(over)
+            # Held as rectangles, so that a span of any length costs nothing.
+            table["taken"].append((table["row"], table["row"] + rows, col, col + cols))
             table["cells"] += 1
             table["cell"] = [table["no"], table["cells"], table["row"], col, rows, cols, tag == "th", []]
 

@@ -14,9 +14,9 @@ def export(df: DataFrame, path: str, form: str, sources: list[str] = ()) -> None
     """Writes JSON lines, CSV or Parquet to a new folder; refuses to write over or into a source."""
     if form not in ("json", "csv", "parquet"):
         raise ValueError("form is json, csv or parquet")
-    target = os.path.realpath(path)
+    target = _address(path)
     for s in sources:
-        source = os.path.realpath(s)
+        source = _address(s)
         if target == source or target.startswith(source + os.sep) or source.startswith(target + os.sep):
             raise ValueError("the target is, holds or lies in a source")
     writer = df.write.mode("errorifexists")
@@ -27,6 +27,14 @@ def export(df: DataFrame, path: str, form: str, sources: list[str] = ()) -> None
         getattr(writer, form)(path)
 
 
+def _address(path: str) -> str:
+    """A path without links and detours; addresses of other file systems are compared as they are written, without repeated and closing slashes."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or scheme == "file":
+        return os.path.realpath("/" + rest.lstrip("/") if mark else path)
+    return f"{scheme.lower()}:" + os.path.normpath("/" + rest.lstrip("/"))
+
+
 def wide_union(parts: dict[str, DataFrame]) -> DataFrame:
     """Unlike row types as one table with all their columns and row_type."""
     out = None
