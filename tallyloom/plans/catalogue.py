@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import fixtures, integrity, media, problems, rendering, texts, usage
+from tallyloom.plans import fixtures, integrity, media, problems, rendering, reports, texts, usage
 
-MODULES = [problems, usage, media, texts, fixtures, integrity, rendering]
+MODULES = [problems, usage, reports, media, texts, fixtures, integrity, rendering]
 FLAGSHIP = usage.usage_daily
 
 
