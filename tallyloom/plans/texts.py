@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions import marks
 from tallyloom.operators import compare, glossary, textfacts
 from tallyloom.plans.fixtures import LIBRARY
 from tallyloom.session import read_table
+from tallyloom.sources import facts
 
 
 def _docs(spark, sf_dir):
@@ -133,10 +135,39 @@ def usage_json_changes(spark, sf_dir):
     return compare.keyed_diff(before, now, ["row_id", "path"], "value")
 
 
+def page_streams(spark, sf_dir):
+    """Every text as an HTML page, read again: how many facts of each stream."""
+    pages = _docs(spark, sf_dir).select("doc_id", "text").where("text is not null")
+    found = facts.scanned(pages, "doc_id", "text", lambda t: facts.page_facts(facts.html_of(t)))
+    return found.where("stream in ('heading', 'code', 'item', 'cell')").groupBy("doc_id", "stream").agg(F.count("*").alias("n"))
+
+
+def page_differences(spark, sf_dir):
+    """Every text as an HTML page against the Markdown of the first text of its work, stream by stream: the first place that differs and how many do."""
+    docs, pairs = _pairs(spark, sf_dir)
+    keep = "stream in ('heading', 'code', 'cell')"
+    now = facts.scanned(pairs, "doc_id", "text", lambda t: facts.page_facts(facts.html_of(t))).where(keep)
+    first = facts.scanned(docs, "doc_id", "text", facts.text_facts).where(keep).withColumnRenamed("doc_id", "first_doc")
+    before = pairs.select("doc_id", "first_doc").join(first, "first_doc").drop("first_doc")
+    return compare.first_difference(compare.stream_diff(before, now, ["doc_id", "stream"], ["ord"], "value"), ["doc_id", "stream"])
+
+
+def number_contexts(spark, sf_dir):
+    """Tokens with a digit by what they stand in."""
+    found = facts.numbers_of(_docs(spark, sf_dir), "doc_id", "text")
+    return found.groupBy("doc_id", "context").agg(F.count("*").alias("n"), F.count("unit").alias("with_unit"))
+
+
+def math_found(spark, sf_dir):
+    """Formulas and dollars that open none."""
+    found = facts.scanned(_docs(spark, sf_dir), "doc_id", "text", lambda t: [(kind, a, value) for kind, a, _, value in marks.scan_math(t)])
+    return found.groupBy("doc_id", F.col("stream").alias("kind")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        block_counts, code_fences, headings, section_sizes, table_cells, line_offsets, number_tokens, message_templates, term_counts, texts_glossary, equal_texts, packed_lines, page_kinds, page_defects,
+        page_streams, page_differences, number_contexts, math_found, block_counts, code_fences, headings, section_sizes, table_cells, line_offsets, number_tokens, message_templates, term_counts, texts_glossary, equal_texts, packed_lines, page_kinds, page_defects,
         line_differences, line_multisets, heading_differences, usage_json_changes,
     )
 }
@@ -153,7 +184,17 @@ _TITLE = "regexp_replace(regexp_replace(line, '^ {0,3}#{1,8}\\s+', ''), '\\s*#*\
 _PAIRS = "pr AS (SELECT d.doc_id, f.first_doc FROM documents d JOIN (SELECT origin_key, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL AND origin_key IS NOT NULL GROUP BY 1) f ON f.origin_key = d.origin_key WHERE d.text IS NOT NULL AND d.doc_id <> f.first_doc)"
 _FENCES = "SELECT doc_id, count(*) // 2 AS n FROM l WHERE f GROUP BY 1"
 
+_FENCED = "fb AS (SELECT doc_id, before, string_agg(line, chr(10) ORDER BY line_no) AS value FROM l WHERE NOT f AND before % 2 = 1 GROUP BY 1, 2), fs AS (SELECT doc_id, before + 1 AS before, line_no FROM l WHERE f AND before % 2 = 0), fe AS (SELECT doc_id, before FROM l WHERE f AND before % 2 = 1), fz AS (SELECT fs.doc_id, fs.line_no, coalesce(value, '') AS value FROM fs JOIN fe ON fe.doc_id = fs.doc_id AND fe.before = fs.before LEFT JOIN fb ON fb.doc_id = fs.doc_id AND fb.before = fs.before)"
+_STREAMS = _LINES + f""", {_FENCED}, tc AS (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|') AS c FROM p WHERE kind = 'table'),
+st AS (SELECT doc_id, 'heading' AS stream, line_no, 0 AS k, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS v FROM p WHERE kind = 'heading' UNION ALL SELECT doc_id, 'code', line_no, 0, trim(value, chr(10)) FROM fz
+  UNION ALL SELECT doc_id, 'item', line_no, 0, line FROM p WHERE kind = 'item' UNION ALL SELECT doc_id, 'cell', line_no, unnest(range(0, len(c))), trim(regexp_replace(unnest(c), '\\s+', ' ', 'g')) FROM tc)"""
+
 ORACLES = {
+    "page_streams": _STREAMS + " SELECT doc_id, stream, count(*) AS n FROM st GROUP BY 1, 2",
+    "page_differences": _STREAMS + f""", {_PAIRS}, a AS (SELECT pr.doc_id, stream, row_number() OVER (PARTITION BY pr.doc_id, stream ORDER BY line_no, k) AS pos, v FROM pr JOIN st ON st.doc_id = pr.first_doc WHERE stream <> 'item'),
+      b AS (SELECT pr.doc_id, stream, row_number() OVER (PARTITION BY pr.doc_id, stream ORDER BY line_no, k) AS pos, v FROM pr JOIN st ON st.doc_id = pr.doc_id WHERE stream <> 'item'),
+      d AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.stream, b.stream) AS stream, coalesce(a.pos, b.pos) AS pos, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'missing' ELSE 'changed' END AS kind FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.stream = b.stream AND a.pos = b.pos WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.v <> b.v)
+      SELECT doc_id, stream, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS n, arg_min(kind, pos) AS kind FROM d GROUP BY 1, 2""",
     "texts_glossary": "WITH l AS (SELECT unnest([" + ", ".join(f"{{'english': '{e}', 'target': '{t}', 'priority': {p}}}" for e, t, p in LIBRARY) + "]) AS r), b AS (SELECT lower(r.english) AS key, arg_min(r.target, r.priority) AS target FROM l GROUP BY 1) SELECT DISTINCT doc_id, key, target FROM documents JOIN b ON regexp_matches(lower(text), '(^|[^a-z0-9])' || key || '([^a-z0-9]|$)')",
     "block_counts": _LINES + f""", c AS (SELECT doc_id, count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'table') AS "table", count(*) FILTER (kind = 'item') AS item, count(*) FILTER (kind = 'paragraph') AS paragraph, CAST(sum(CASE WHEN kind IN ('table', 'rule', 'blank') THEN 0 ELSE len(regexp_extract_all(line, '`[^`]+`')) END) AS BIGINT) AS code FROM p GROUP BY 1)
       SELECT c.doc_id, heading, coalesce(n, 0) AS fence, "table", item, paragraph, code FROM c LEFT JOIN ({_FENCES}) x ON x.doc_id = c.doc_id WHERE heading + "table" + item + paragraph + code + coalesce(n, 0) > 0""",

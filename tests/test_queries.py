@@ -51,4 +51,4 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_is_tested_elsewhere():
-    assert set(CORE) - set(entry.catalogue.oracle_sql()) == {"packed_lines", "page_blocks"}
+    assert set(CORE) - set(entry.catalogue.oracle_sql()) == {"packed_lines", "page_blocks", "number_contexts", "math_found"}
