@@ -1,4 +1,4 @@
-"""Queries whose inputs are small literal tables, the same for Spark and SQL."""
+"""Queries whose inputs are small literal tables, the same for Spark and SQL; snapshot_changes runs over a whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import compare, glossary, graphs, pages
+from tallyloom.session import read_table
 from tallyloom.sources import html, stores
 
 # Literal inputs; null is None.
@@ -23,8 +24,6 @@ LAYERS = [(1, "global", "host", "a"), (2, "project", "host", "b"), (3, "environm
 REPLIES = [(200, 0), (200, 7), (429, 0), (503, None), (404, 0), (204, None)]
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("e", "e")]
 PAGE = "<html><head><title>t</title></head><body><h1>One &amp; two</h1><p>Text <a href='b.html'>link</a> on.</p><ul><li>item</li></ul><table><tr><th>k</th><td>v</td></tr></table><pre>x = 1\ny = 2</pre><a href='https://else.example/'>out</a><img src='i.png' alt='pic'>tail</body></html>"
-OLD = [("k1", "a"), ("k2", None), ("k3", "c")]
-NEW = [("k1", "a"), ("k2", "b"), ("k4", None)]
 
 
 def _t(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -93,8 +92,14 @@ def page_blocks(spark, sf_dir):
     return html.parse_pages(_t(spark, [("p", PAGE)], "page string, html string"), "page", "html")
 
 
+SNAPSHOT = "2026-06-01 00:00:00"
+
+
 def snapshot_changes(spark, sf_dir):
-    return compare.keyed_diff(_t(spark, OLD, "k string, v string"), _t(spark, NEW, "k string, v string"), ["k"], "v")
+    """Sessions that are new or changed since a day: the state of each from the rows that had come in by then, and from all rows."""
+    rows = read_table(spark, sf_dir, "agent_session").where("id is not null")
+    state = lambda df: df.groupBy("id").agg(F.concat_ws("/", F.max(F.coalesce("cli_version", F.lit("-"))), F.count("*").cast("string")).alias("v"))
+    return compare.keyed_diff(state(rows.where(F.col("ingested_at") < F.lit(SNAPSHOT).cast("timestamp"))), state(rows), ["id"], "v")
 
 
 QUERIES = {
@@ -131,5 +136,5 @@ ORACLES = {
     "replies_classified": "WITH " + _values("r", REPLIES, "status, code") + " SELECT status, code, CASE WHEN status = 429 OR status >= 500 THEN 'retry' WHEN status BETWEEN 200 AND 299 AND coalesce(code, 0) = 0 THEN 'ok' ELSE 'error' END AS what FROM r",
     "links_reachable": "WITH RECURSIVE " + _values("e", EDGES, "src, dst") + ", w AS (SELECT 'a' AS node, 0 AS steps UNION SELECT 'x', 0 UNION SELECT dst, steps + 1 FROM w JOIN e ON e.src = w.node WHERE steps < 10) SELECT node, min(steps) AS steps FROM w GROUP BY 1",
     "dependency_groups": "WITH RECURSIVE " + _values("e", EDGES, "src, dst") + ", n AS (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'x', 'y', 'z']) AS node), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT node, node AS r FROM n UNION SELECT w.node, b.dst FROM w JOIN b ON b.src = w.r) SELECT node, min(r) AS grp FROM w GROUP BY 1",
-    "snapshot_changes": "WITH " + _values("o", OLD, "k, v") + ", " + _values("n", NEW, "k, v") + " SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM o FULL JOIN n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL OR o.v IS DISTINCT FROM n.v",
+    "snapshot_changes": f"WITH s AS (SELECT id, coalesce(cli_version, '-') AS c, ingested_at < TIMESTAMPTZ '{SNAPSHOT}+00' AS early FROM agent_session WHERE id IS NOT NULL), o AS (SELECT id, max(c) || '/' || count(*) AS v FROM s WHERE early GROUP BY 1), n AS (SELECT id, max(c) || '/' || count(*) AS v FROM s GROUP BY 1) SELECT n.id, CASE WHEN o.id IS NULL THEN 'added' ELSE 'changed' END AS kind FROM n LEFT JOIN o ON o.id = n.id WHERE o.v IS DISTINCT FROM n.v",
 }

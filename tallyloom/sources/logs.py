@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import os
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,33 +16,51 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
     """The lines of all matching files below ``path``: path, line_no (from 1), line, problem.
 
     problem is null, ``unterminated`` (a last line without line end), ``corrupt``
-    (no JSON) or ``no object``.  Blank lines are left out but counted.  A file
-    is read by one task, as line numbers and the missing line end need it
-    whole; logs are many files, not one.
+    (no JSON) or ``no object``.  Blank lines are left out but counted.  Files
+    are read in splits, so one of any size spreads over tasks; the lines of
+    the splits before give each line its number, and a file whose lines with
+    their ends are longer than itself has no end behind its last one.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                text = content.decode("utf-8", "replace")
-                lines = text.split("\n")
-                open_end = lines.pop() if lines else ""
-                rows += [(name, no, line.rstrip("\r"), _problem(line)) for no, line in enumerate(lines, 1) if line.strip()]
-                if open_end.strip():
-                    rows.append((name, len(lines) + 1, open_end, "unterminated"))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.string(), pa.string()])], names=["path", "line_no", "line", "problem"])
-
-    return files.mapInArrow(scan, "path string, line_no int, line string, problem string")
-
-
-def _problem(line: str) -> str | None:
-    try:
-        return None if isinstance(json.loads(line), dict) else "no object"
-    except ValueError:
-        return "corrupt"
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    rows = read.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("path")
+    splits = splits.select(
+        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.sum("n").over(whole).alias("lines"), (F.sum("bytes").over(whole) > F.max("size").over(whole)).alias("open_end")
+    )
+    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy("path", "block").orderBy("at"))).join(splits, ["path", "block"])
+    line_no = F.col("earlier") + F.col("k")
+    parsed = F.try_parse_json("line")
+    problem = F.when(F.col("open_end") & (line_no == F.col("lines")), "unterminated").when(parsed.isNull(), "corrupt").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
+    out = numbered.select("path", line_no.cast("int").alias("line_no"), F.regexp_replace("line", "\r+$", "").alias("line"), problem.alias("problem"))
+    return out.where(F.btrim("line", F.lit(" \t")) != "")
+
+
+def distinct_paths(paths: list[str]) -> list[str]:
+    """Paths without repetitions, sorted; local ones that lead to one file by links count once."""
+    real = {}
+    for p in sorted(paths):
+        real.setdefault(p if ":" in p else os.path.realpath(p), p)
+    return sorted(real.values())
+
+
+def captured(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row for each path that was asked for: path, bytes, problem (``unreadable`` for one that cannot be read)."""
+    asked = spark.createDataFrame([(p,) for p in distinct_paths(paths)], "path string")
+    there = [p for p in distinct_paths(paths) if _exists(spark, p)]
+    if not there:
+        return asked.select("path", F.lit(None).cast("long").alias("bytes"), F.lit("unreadable").alias("problem"))
+    found = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:(?://)?", "").alias("found"), F.col("length").alias("bytes"))
+    out = asked.join(found, F.regexp_replace("path", "^file:(?://)?", "") == F.col("found"), "left")
+    return out.select("path", "bytes", F.when(F.col("found").isNull(), "unreadable").alias("problem"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(target) and not files.getFileStatus(target).isDirectory()
 
 
 def read_issues(lines: DataFrame) -> DataFrame:

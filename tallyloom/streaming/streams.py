@@ -28,29 +28,28 @@ def sessions(stream: DataFrame, at: str, late: str, gap: str, by: list[str]) ->
     return out.select(*by, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
 
-def counter_deltas(stream: DataFrame, by: str, order: str, counter: str) -> DataFrame:
+def counter_deltas(stream: DataFrame, by: str, order: str, counter: str, idle: str = "7 days") -> DataFrame:
     """Differences of a cumulative counter per key; the last reading is the state.
 
     Rows of one micro-batch are taken in the order of ``order``.  A first
-    reading above zero and a decrease give null.
+    reading above zero and a decrease give null.  A key that was silent for
+    ``idle`` is forgotten; its next reading counts as a first one.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(order)
-        deltas = []
-        for value in rows[counter]:
-            if pd.isna(value):
-                deltas.append(None)
-                continue
-            if last is None:
-                deltas.append(0 if value == 0 else None)
-            else:
-                deltas.append(None if value < last else int(value - last))
-            last = int(value)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({by: [key[0]] * len(rows), order: rows[order].to_numpy(), "delta": pd.array(deltas, dtype="Int64")})
+        read = rows[counter].dropna()
+        before = read.shift()
+        if len(read):
+            before.iloc[0] = state.get[0] if state.exists else (0 if read.iloc[0] == 0 else float("nan"))
+            state.update((int(read.iloc[-1]),))
+        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        delta = read - before
+        delta = delta.where(delta >= 0).reindex(rows.index)
+        yield pd.DataFrame({by: [key[0]] * len(rows), order: rows[order].to_numpy(), "delta": pd.array(delta, dtype="Int64")})
 
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(by).applyInPandasWithState(update, f"{by} {fields[by]}, {order} {fields[order]}, delta bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(by).applyInPandasWithState(update, f"{by} {fields[by]}, {order} {fields[order]}, delta bigint", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)

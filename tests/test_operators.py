@@ -341,3 +341,23 @@ def test_whole_texts():
         with pytest.raises(ValueError):
             integrity.spliced(broken, fences)
     assert integrity.with_placeholders(None) == ("", [])
+
+
+def test_lines_of_files_that_are_read_in_splits(spark, tmp_path):
+    """Numbers and the missing end are right however a file is cut."""
+    from tallyloom.sources import logs
+
+    (tmp_path / "big.jsonl").write_text("".join('{"n": %d}\n' % k if k % 7 else "\n" for k in range(1, 3001)) + '{"n": "end"}')
+    (tmp_path / "small.jsonl").write_text('[1]\r\n{"a": 1}\r\n\n{broken\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        got = {(r.path.rsplit("/", 1)[1], r.line_no): (r.line, r.problem) for r in logs.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {("big.jsonl", k): ('{"n": %d}' % k, None) for k in range(1, 3001) if k % 7} | {("big.jsonl", 3001): ('{"n": "end"}', "unterminated")}
+    want |= {("small.jsonl", 1): ("[1]", "no object"), ("small.jsonl", 2): ('{"a": 1}', None), ("small.jsonl", 4): ("{broken", "corrupt")}
+    assert got == want
+    (tmp_path / "link.jsonl").symlink_to(tmp_path / "small.jsonl")
+    paths = [str(tmp_path / n) for n in ("small.jsonl", "link.jsonl", "gone.jsonl")]
+    assert sorted((r.path.rsplit("/", 1)[1], r.problem) for r in logs.captured(spark, paths).collect()) == [("gone.jsonl", "unreadable"), ("link.jsonl", None)]
