@@ -19,6 +19,9 @@ UNVERIFIED = "provider not verified"
 CACHE_OVER_INPUT = "cache exceeds input"
 TOTAL_DIFFERS = "total differs from input plus output"
 SOURCES_DIFFER = "sources differ"
+ZERO_UNSURE = "zero not confirmed"
+#: Each reason is a bit of a mask while records are added up.
+REASONS = [CACHE_OVER_INPUT, NOT_A_COUNT, NOT_REPORTED, UNVERIFIED, SOURCES_DIFFER, TOTAL_DIFFERS, ZERO_UNSURE]
 
 
 def cell(value: Column | None, state: str | Column, reason: str | Column = "") -> Column:
@@ -39,7 +42,7 @@ def count_cell(usage: Column, key: str, zero_uncertain: bool = False) -> Column:
     whole = (kind == "BIGINT") & (value >= 0)
     out = F.when(absent, cell(None, "unknown", NOT_REPORTED)).when(~F.coalesce(whole, F.lit(False)), cell(None, "conflict", NOT_A_COUNT))
     if zero_uncertain:
-        out = out.when(value == 0, cell(F.lit(0), "unknown", "zero not confirmed"))
+        out = out.when(value == 0, cell(F.lit(0), "unknown", ZERO_UNSURE))
     return out.otherwise(cell(value, "reported"))
 
 
@@ -75,12 +78,20 @@ def usage_cells(df: DataFrame, usage_json: str, mapping: dict[str, str], total_k
     return out
 
 
+def _bit(reason: Column) -> Column:
+    """The bit of a reason, 0 for none."""
+    out = F.when(reason == REASONS[0], 1)
+    for i, r in enumerate(REASONS[1:], 1):
+        out = out.when(reason == r, 1 << i)
+    return out.otherwise(0)
+
+
 def partials(metrics: list[str] = METRICS, calls: str | None = None) -> list[Column]:
     """The sums that an aggregate row is made of; they can be added up again by ``merged``."""
     out = [F.count("*").alias("records")]
     for m in metrics:
         c = F.col(m)
-        out += [F.sum(F.when(known(c), c["value"])).alias(f"{m}_sum"), F.count(F.when(known(c), 1)).alias(f"{m}_known"), F.collect_set(F.when(c["reason"] != "", c["reason"])).alias(f"{m}_why")]
+        out += [F.sum(F.when(known(c), c["value"])).alias(f"{m}_sum"), F.count(F.when(known(c), 1)).alias(f"{m}_known"), F.bit_or(_bit(c["reason"])).alias(f"{m}_why")]
     pair = known(F.col("input")) & known(F.col("cache_read"))
     out += [F.count(F.when(pair, 1)).alias("paired"), F.sum(F.when(pair, F.col("input")["value"])).alias("paired_input"), F.sum(F.when(pair, F.col("cache_read")["value"])).alias("paired_cache")]
     n = F.col(calls) if calls else F.lit(1)
@@ -91,7 +102,7 @@ def merged(metrics: list[str] = METRICS) -> list[Column]:
     """Adds up rows of ``partials``."""
     out = [F.sum("records").alias("records")]
     for m in metrics:
-        out += [F.sum(f"{m}_sum").alias(f"{m}_sum"), F.sum(f"{m}_known").alias(f"{m}_known"), F.array_distinct(F.flatten(F.collect_set(f"{m}_why"))).alias(f"{m}_why")]
+        out += [F.sum(f"{m}_sum").alias(f"{m}_sum"), F.sum(f"{m}_known").alias(f"{m}_known"), F.bit_or(f"{m}_why").alias(f"{m}_why")]
     return [*out, *[F.sum(c).alias(c) for c in ("paired", "paired_input", "paired_cache", "calls_sum", "calls_known")]]
 
 
@@ -102,7 +113,7 @@ def finished(metrics: list[str] = METRICS) -> list[Column]:
         k = F.col(f"{m}_known")
         out += [
             F.col(f"{m}_sum").alias(m), k.alias(f"{m}_known"), F.when(k == 0, "unknown").when(k == F.col("records"), "known").otherwise("partial").alias(f"{m}_state"),
-            F.array_join(F.array_sort(f"{m}_why"), "; ").alias(f"{m}_reasons"),
+            F.concat_ws("; ", *[F.when(F.col(f"{m}_why").bitwiseAND(1 << i) > 0, r) for i, r in sorted(enumerate(REASONS), key=lambda x: x[1])]).alias(f"{m}_reasons"),
         ]
     paired, whole = F.col("paired"), F.col("paired_input")
     ratio = F.when(whole > 0, F.col("paired_cache") / whole)
@@ -137,7 +148,8 @@ def reconcile(df: DataFrame, key: list[str], metrics: list[str], order: str) ->
     """
     def one(m):
         c = F.col(m)
-        same = F.count_distinct(F.struct(F.coalesce(c["value"], F.lit(-1)), c["state"], c["reason"])) == 1
+        spelt = F.xxhash64(F.coalesce(c["value"], F.lit(-1)), c["state"], c["reason"])
+        same = F.min(spelt) == F.max(spelt)
         return F.when(same, F.min_by(c, F.col(order))).otherwise(cell(None, "conflict", SOURCES_DIFFER)).alias(m)
 
     return df.groupBy(*key).agg(F.count("*").alias("copies"), *[one(m) for m in metrics])
